@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from harborlight.llm.common import table
 from harborlight.llm.textscan import blocks, span_hashes
 
 #: Words whose ids a worker keeps between batches.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 _NONE = np.int64(1) << 40
 
 
@@ -233,7 +234,7 @@ def word_table(path: str, pattern: str) -> WordTable:
     return _TABLES[path, pattern]
 
 
-def slices(column: pa.Array, size: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Runs of rows of about so many bytes of text."""
     for lo, hi, _, _ in blocks(column, size):
         yield lo, hi
@@ -265,18 +266,21 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: t for t, i in load_ranks(vocabulary).items()}
-        length = np.zeros(max(tokens) + 1, np.int64)
+        length, spelt = np.zeros(max(tokens) + 1, np.int64), np.full(max(tokens) + 1, b"", object)
         for i, t in tokens.items():
-            length[i] = len(t)
+            length[i], spelt[i] = len(t), t
         for b in batches:
             column = b.column(ids)
-            flat = np.asarray(column.flatten())
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            size = np.concatenate([[0], np.cumsum(length[flat])])[ends]
-            data = b"".join(map(tokens.__getitem__, flat.tolist()))
-            made = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), made], names=[*keep, out])
+            lo = 0
+            while lo < len(sizes):  # about a million ids at a time
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+                flat = np.asarray(column.slice(lo, hi - lo).flatten())
+                size = np.concatenate([[0], np.cumsum(length[flat])])[ends[lo : hi + 1] - ends[lo]]
+                made = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(b"".join(spelt[flat].tolist()))])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keep), made], names=[*keep, out])
+                lo = hi
 
     return df.select(*keep).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())]))
 
