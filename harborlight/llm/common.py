@@ -80,6 +80,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's rows per Arrow batch, so that a batch of whole texts stays at a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def string_lists(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The texts of an Arrow column; null is the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborlight.llm.common import table
+from harborlight.llm.common import table, text_batches
 from harborlight.llm.textscan import blocks, span_hashes
 
 #: Words whose ids a worker keeps between batches.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 _NONE = np.int64(1) << 40
 
 
@@ -65,9 +65,9 @@ class MergeReplay:
         close = np.cumsum(size + 1) - 1
         sym = self.byte_id[raw]
         sym[close] = -1
-        word = np.repeat(np.arange(len(words)), size + 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size + 1)
         n = len(sym)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[-1], prv[0] = n - 1, n - 1  # both lead to the last separator
         pair = np.full(n, _NONE)
         pair[:-1] = self.rank_of(sym[:-1], sym[1:])
@@ -174,7 +174,7 @@ class WordTable:
         order = np.argsort(h)
         h = h[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
-        word = np.empty(len(h), np.int64)
+        word = np.empty(len(h), np.int32)
         word[order] = np.cumsum(new) - 1
         at = order[new]
         distinct = [raw[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
@@ -201,7 +201,8 @@ class WordTable:
         flat, place = np.frombuffer(b"".join(x or b"" for x in ids), "<i4"), np.concatenate([[0], np.cumsum(size)[:-1]])
         each = size[word]
         close = np.cumsum(each)
-        take = np.repeat(place[word] - close + each, each) + np.arange(int(close[-1]) if len(close) else 0)
+        take = np.repeat((place[word] - close + each).astype(np.int32), each)
+        take += np.arange(len(take), dtype=np.int32)
         count = np.zeros(total, np.int64)
         np.add.at(count, row, each)
         return flat[take], count
@@ -256,6 +257,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
                 cols = [b.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, list_column(*words.encode(texts.slice(lo, hi - lo)))], names=[*keep, out])
 
+    text_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType(), False))])
     return df.select(*keep, text).mapInArrow(run, schema)
 

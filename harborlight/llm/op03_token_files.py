@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from harborlight.llm.common import fresh_path, materialize, table
+from harborlight.llm.common import fresh_path, materialize, table, text_batches
 from harborlight.llm.op02_byte_bpe import WordTable, slices
 from harborlight.llm.textscan import mix
 
@@ -164,6 +164,7 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], WordTable],
     """Encodes and writes the payload shards; returns the manifest (key, shard, path, offset, n_ids), kept by Spark."""
     spark = docs.sparkSession
     folder_made = f"{folder}/payload"
+    text_batches(spark)
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
