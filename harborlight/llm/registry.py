@@ -1,8 +1,8 @@
 """The queries of this subpackage."""
 
-from harborlight.llm import op02_byte_bpe, op03_token_files, op05_url_filters, op06_ngram_jaccard
+from harborlight.llm import op02_byte_bpe, op03_token_files, op05_url_filters, op06_ngram_jaccard, op09_embedding_dedup
 
-_MODULES = [op02_byte_bpe, op03_token_files, op05_url_filters, op06_ngram_jaccard]
+_MODULES = [op02_byte_bpe, op03_token_files, op05_url_filters, op06_ngram_jaccard, op09_embedding_dedup]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
