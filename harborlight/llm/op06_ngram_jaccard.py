@@ -5,17 +5,18 @@ Steps, each a Spark job over all documents:
 1. Shingle every text to a set of 64-bit hashes. Documents with equal sets are one class; only the class
    representative goes on, and its copies share its component.
 2. Of every set keep its leading tokens under the order of the hashes: p(n) = n - ceil(3n/4) + L(n) of them with
-   L(n) = 1 + n // 10. Two sets with Jaccard >= t share at least L(min(n1, n2)) leading tokens (general t alike).
+   L(n) = 1 + n // 20. Two sets with Jaccard >= t share at least L(min(n1, n2)) leading tokens (general t alike).
    Tokens of a single representative are dropped from the sorted token stream, and so are documents left with
    fewer tokens than any partner would need.
-3. Partition the rest into groups of similar documents: those with the same least surviving token. A group's row
-   of the matrix is the union of its members' tokens, so a thousand near copies are one row.
-4. Bound: a query document may link into a group only if it shares L(ceil(t * n)) tokens with the group's union;
-   only such groups are opened. Tokens in very many groups (common passages) are left out of the count and the
-   bound is lowered by their number; a document that would have no bound left keeps all its tokens.
-5. Open: members are compared by their whole sets, first each with its group's leader (repeated for the members
-   still apart), then, after a pass of connected components, only pairs of different components. Links inside a
-   component add nothing, so component ids are exact though not all links are listed.
+3. Partition the rest into groups of similar documents: those with the same least surviving token are compared, by
+   their whole sets, with the group's leader, which is repeated for the members still apart; the components of the
+   links found are the groups. A group's row of the matrix is the union of its members' tokens, so a thousand near
+   copies are one row. Tokens of a single group can open nothing and are dropped.
+4. Bound: a query document may link into another group only if it shares L(ceil(t * n)) tokens with the group's
+   union; only such groups are opened. Tokens in very many groups (common passages) are left out of the count and
+   the bound is lowered by their number; a document that would have no bound left keeps all its tokens.
+5. Open: the document is compared, by whole sets, with the members of fitting size. Links inside a component add
+   nothing, so component ids are exact though not all links are listed.
 
 Defined cases: a null or empty text or one of white space has no set and links with nothing; a text under k words
 has its whole sequence as its one shingle; repeated rows of a doc_id count as copies; rows with a null doc_id are
@@ -41,11 +42,6 @@ COMMON = 64
 LEADERS = 3
 
 
-def needed(n: int, t: int) -> int:
-    """The least overlap of a set of n with a set that links with it: ceil(t% of n)."""
-    return -(-n * t // 100)
-
-
 def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, sorted distinct shingle hashes, ends by row) of blocks of texts."""
     for lo, hi, buf, off in blocks(column):
@@ -74,7 +70,7 @@ def sketches(docs: DataFrame, t: int, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     total = lambda x: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x)])[ends]).view(np.int64)
                     sig1, sig2 = total(mix(h + np.uint64(1))), total(mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-                p = np.where(n > 0, n - (-(-n * t // 100)) + 1 + n // 10, 0)
+                p = np.where(n > 0, n - (-(-n * t // 100)) + 1 + n // 20, 0)
                 p = np.minimum(p, n)
                 close = np.cumsum(p)
                 take = np.repeat(ends[:-1] - close + p, p) + np.arange(int(close[-1]))
@@ -124,7 +120,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
 def _least(n: Column, t: int) -> Column:
     """Leading tokens that a document shares with any partner: L(ceil(t * n))."""
-    return F.lit(1) + F.floor(F.ceil(n * t / 100) / 10).cast("long")
+    return F.lit(1) + F.floor(F.ceil(n * t / 100) / 20).cast("long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -165,18 +161,19 @@ def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
         links = found if links is None else links.union(found)
         placed = together(links)
 
-    # The matrix and its bound.
-    matrix = kept.select("token", "grp").distinct()
-    width = matrix.groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") > COMMON)
-    marked = kept.join(width, "token", "left").withColumn("common", F.col("groups").isNotNull().cast("int"))
+    # The matrix and its bound. The groups are now the components so far: a document is only held against others'.
+    mine = placed.select("doc_id", "comp")
+    kept = kept.select("token", "doc_id", "n").join(mine, "doc_id")
+    width = kept.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    marked = materialize(kept.join(width, "token"), "marked").withColumn("common", (F.col("groups") > COMMON).cast("int"))
     marked = marked.withColumn("bound", _least(F.col("n"), t) - F.sum("common").over(each))
     query = marked.where("bound < 1 or common = 0").withColumn("need", F.when(F.col("bound") < 1, _least(F.col("n"), t)).otherwise(F.col("bound")))
-    opened = query.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), "need").join(matrix, "token")
-    opened = opened.groupBy("a", "na", "grp").agg(F.count("*").alias("o"), F.first("need").alias("need")).where("o >= need")
-    # Only members of another component than the query's, of a fitting size; each pair once.
-    mine = placed.select(F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
-    pairs = opened.join(mine, "a").join(placed.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "grp")
-    pairs = pairs.where(F.col("ca") != F.col("cb")).where((F.col("nb") * 100 >= F.col("na") * t) & (F.col("na") * 100 >= F.col("nb") * t))
+    query = query.select("token", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "need")
+    rows = marked.select("token", "comp").distinct()
+    opened = query.join(rows, "token").where("ca <> comp").groupBy("a", "comp").agg(F.count("*").alias("o"), F.first("need").alias("need"), F.first("na").alias("na")).where("o >= need")
+    # Members of a fitting size of the opened groups; each pair once.
+    members_of = placed.select("comp", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = opened.join(members_of, "comp").where((F.col("nb") * 100 >= F.col("na") * t) & (F.col("na") * 100 >= F.col("nb") * t))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = materialize(verified(pairs, sets, t), "links")
     links = last if links is None else links.union(last)
