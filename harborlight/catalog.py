@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from harborlight.plans import board, changes, crawl, live, work
+
+FLAGSHIP = "company_summaries"
+_ALL = [board.R, crawl.R, work.R, changes.R, live.R]
+QUERIES = {k: f for r in _ALL for k, f in r.queries.items()}
+ORACLES = {k: s for r in _ALL for k, s in r.oracles.items()}
