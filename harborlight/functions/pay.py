@@ -76,7 +76,7 @@ def parse_pay_input(c: Column | str, most: int = 1_000_000) -> Column:
     t = F.regexp_replace(lower(col(c)), r"[\s$,]", "")
     n = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)k?$", 1)
     v = F.when(n != "", n.cast("double") * F.when(t.endswith("k"), 1000).otherwise(1))
-    return F.least(F.round(v).cast("long"), F.lit(most).cast("long"))
+    return F.when(v.isNotNull(), F.least(F.round(v).cast("long"), F.lit(most).cast("long")))
 
 
 def display_pay(c: Column | str) -> Column:
