@@ -225,7 +225,7 @@ def bucket_of(key: str, buckets: int) -> F.Column:
 
 def read_keys(keys: DataFrame, manifest: DataFrame, index: DataFrame, folder: str, width: int = 2, key: str = "doc_id") -> DataFrame:
     """Fetches documents by key through the index: (key, found, shard, offset, ids as bytes of the payload)."""
-    buckets = index.count()
+    buckets = max(1, index.count())
     paths = manifest.groupBy("shard").agg(F.min("path").alias("path"))
     wanted = keys.select(F.col(key).cast("long").alias("key")).where("key is not null")
     wanted = wanted.withColumn("bucket", bucket_of("key", buckets)).join(index, "bucket", "left")

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ CHAIN = [*CATEGORY_WORDS, "toxic"]
 
 
 def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, keys, rows) of blocks: distinct (row, key); a key packs its bytes and their number."""
+    """(first row, end row, keys, rows) of blocks, repeats and all; a key packs its bytes and their number."""
     for lo, hi, buf, off in blocks(column):
         buf = LOWER[buf]
         start, end, row = words(buf, off)
@@ -50,12 +50,37 @@ def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
                 fits = size >= j
                 keys.append(packed[fits] | (j + 1) << 56)
                 rows.append(row[fits])
-        keys, rows = np.concatenate(keys), np.concatenate(rows)
-        order = np.lexsort((keys, rows))
-        keys, rows = keys[order], rows[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-        yield lo, hi, keys[new], rows[new]
+        yield lo, hi, np.concatenate(keys), np.concatenate(rows)
+
+
+def distinct(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, key) once, in order of rows."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    return keys[new], rows[new]
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+class Chosen:
+    """The features kept, and which of them a row has: most keys are turned away by one look at a bitmap."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.may = keys, np.zeros(1 << 20, bool)
+        self.may[_slot(keys)] = True
+
+    def hits(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of features, each pair once."""
+        on = self.may[_slot(keys)] if len(self.keys) else np.zeros(len(keys), bool)
+        keys, rows = distinct(keys[on], rows[on])
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        real = self.keys[at] == keys
+        return rows[real], at[real]
 
 
 class Rows:
@@ -154,6 +179,7 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
         for b in batches:
             y = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in categories])
             for lo, _, keys, rows in word_keys(b.column("text")):
+                keys, rows = distinct(keys, rows)
                 kinds, at = np.unique(keys, return_inverse=True)
                 total = [np.bincount(at, ~np.isnan(y[lo + rows, j]), len(kinds)).astype(np.int64) for j in range(len(categories))]
                 pos = [np.bincount(at, np.nan_to_num(y[lo + rows, j]), len(kinds)).astype(np.int64) for j in range(len(categories))]
@@ -173,22 +199,15 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
     return np.sort(np.array([r.key for r in best.where("chi > 0").orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
 
 
-def _hits(keys: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(chosen):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-    on = chosen[at] == keys
-    return rows[on], at[on]
-
-
 def fit(sample: DataFrame, categories: list[str], features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
     chosen = telling_features(sample, categories, features)
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Chosen(chosen)
         for b in batches:
             out: list[np.ndarray] = []
             for lo, hi, keys, rows in word_keys(b.column("text")):
-                rows, cols = _hits(keys, rows, chosen)
+                rows, cols = kept.hits(keys, rows)
                 out += np.split(cols.astype(np.int32), np.cumsum(np.bincount(rows, minlength=hi - lo))[:-1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in categories), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", *categories, "features"])
 
@@ -218,10 +237,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, models = shared.value
+        kept = Chosen(chosen)
         for b in batches:
             parts = [np.zeros((0, len(models)))]
             for lo, hi, keys, rows in word_keys(b.column("text")):
-                x = Rows(*_hits(keys, rows, chosen), (hi - lo, len(chosen)))
+                x = Rows(*kept.hits(keys, rows), (hi - lo, len(chosen)))
                 dense = np.zeros((hi - lo, 0))
                 for w in models:
                     dense = np.column_stack([dense, log_odds(x, dense, w)])
