@@ -25,8 +25,8 @@ from harborlight.llm.common import materialize, table, text_batches
 from harborlight.llm.labelled import held_out, labelled_sample, sigmoid
 from harborlight.llm.textscan import LOWER, blocks, words
 
-#: Labelled documents to fit on, features to keep, folds of the out-of-fold predictions.
-FIT_ROWS, FEATURES, FOLDS = 30_000, 4096, 5
+#: Labelled documents to fit on, features to keep at most, their least chi-square, folds of the out-of-fold predictions.
+FIT_ROWS, FEATURES, LEAST_CHI, FOLDS = 30_000, 4096, 15.0, 5
 SIZES = (4, 5, 6)
 #: The labels table marks toxicity alone; two finer categories are read off the toxic documents of the sample by
 #: these words. A toxic document with none of them tells nothing of either.
@@ -196,7 +196,7 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
         return F.when(odd > 0, n * (a * n - k * p) * (a * n - k * p) / odd).otherwise(0.0)
 
     best = counted.where(F.col("n_toxic") >= 3 if "toxic" in categories else F.lit(True)).select("key", F.greatest(*map(chi, categories), F.lit(0.0)).alias("chi"))
-    return np.sort(np.array([r.key for r in best.where("chi > 0").orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
+    return np.sort(np.array([r.key for r in best.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
 
 
 def fit(sample: DataFrame, categories: list[str], features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
