@@ -80,6 +80,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Ids that may be broadcast: the count is checked first, and beyond it the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is among ids (a column of that name): a broadcast of a checked number of ids, else a shuffled join."""
+    ids = ids.select(key).distinct()
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Lowers the session's rows per Arrow batch, so that a batch of whole texts stays at a few MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

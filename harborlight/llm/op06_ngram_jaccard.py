@@ -5,7 +5,7 @@ Steps, each a Spark job over all documents:
 1. Shingle every text to a set of 64-bit hashes. Documents with equal sets are one class; only the class
    representative goes on, and its copies share its component.
 2. Of every set keep its leading tokens under the order of the hashes: p(n) = n - ceil(3n/4) + L(n) of them with
-   L(n) = 1 + n // 20. Two sets with Jaccard >= t share at least L(min(n1, n2)) leading tokens (general t alike).
+   L(n) = 1 + n // 5. Two sets with Jaccard >= t share at least L(min(n1, n2)) leading tokens (general t alike).
    Tokens of a single representative are dropped from the sorted token stream, and so are documents left with
    fewer tokens than any partner would need.
 3. Partition the rest into groups of similar documents: those with the same least surviving token are compared, by
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from harborlight.llm.common import connected_components, materialize, table
+from harborlight.llm.common import connected_components, materialize, table, with_ids
 from harborlight.llm.textscan import LOWER, blocks, mix, shingle_hashes, span_hashes, words
 
 #: A token of more groups than this is left out of the counts where a document's bound allows it.
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, t: int, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     total = lambda x: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x)])[ends]).view(np.int64)
                     sig1, sig2 = total(mix(h + np.uint64(1))), total(mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-                p = np.where(n > 0, n - (-(-n * t // 100)) + 1 + n // 20, 0)
+                p = np.where(n > 0, n - (-(-n * t // 100)) + 1 + n // 5, 0)
                 p = np.minimum(p, n)
                 close = np.cumsum(p)
                 take = np.repeat(ends[:-1] - close + p, p) + np.arange(int(close[-1]))
@@ -120,7 +120,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
 def _least(n: Column, t: int) -> Column:
     """Leading tokens that a document shares with any partner: L(ceil(t * n))."""
-    return F.lit(1) + F.floor(F.ceil(n * t / 100) / 20).cast("long")
+    return F.lit(1) + F.floor(F.ceil(n * t / 100) / 5).cast("long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -128,22 +128,22 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     o = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("o", o).where(F.col("o") * 100 >= (F.size("ta") + F.size("tb") - F.col("o")) * t).select("a", "b")
+    return both.withColumn("o", o).where(F.col("o") * 100 >= (F.size("ta") + F.size("tb") - F.col("o")) * t).select("a", "b").distinct()
 
 
 def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document (doc_id, text); t in per cent."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sketch = materialize(sketches(docs, t, k), "sketch")
-    reps = sketch.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min_by("lead", "doc_id").alias("lead"), F.min("doc_id").alias("rep"))
-    tokens = reps.select(F.explode("lead").alias("token"), F.col("rep").alias("doc_id"), "n")
-    left = shared_tokens(tokens)
+    reps = materialize(sketch.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    leads = with_ids(sketch.where("n > 0"), reps.select(F.col("rep").alias("doc_id")), "doc_id")
+    left = shared_tokens(leads.select(F.explode("lead").alias("token"), "doc_id", "n"))
     # A document with fewer surviving tokens than any partner needs goes; the rest is grouped by its least token.
     each = W.partitionBy("doc_id")
     kept = left.withColumn("s", F.count("*").over(each)).withColumn("grp", F.min("token").over(each)).where(F.col("s") >= _least(F.col("n"), t))
     kept = materialize(kept.select("token", "doc_id", "n", "grp"), "matrix")
     members = materialize(kept.select("doc_id", "n", "grp").distinct(), "members")
-    sets = materialize(whole_sets(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    sets = materialize(whole_sets(with_ids(docs, members, "doc_id"), k), "sets")
 
     def together(links: DataFrame) -> DataFrame:
         c = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
