@@ -12,11 +12,12 @@ Steps, each a Spark job over all documents:
    their whole sets, with the group's leader, which is repeated for the members still apart; the components of the
    links found are the groups. A group's row of the matrix is the union of its members' tokens, so a thousand near
    copies are one row. Tokens of a single group can open nothing and are dropped.
-4. Bound: a query document may link into another group only if it shares L(ceil(t * n)) tokens with the group's
-   union; only such groups are opened. Tokens in very many groups (common passages) are left out of the count and
-   the bound is lowered by their number; a document that would have no bound left keeps all its tokens.
-5. Open: the document is compared, by whole sets, with the members of fitting size. Links inside a component add
-   nothing, so component ids are exact though not all links are listed.
+4. Bound: a query document links into another group only if it shares L(ceil(t * n)) leading tokens with the group's
+   union. So of its shared tokens, in order of the number of groups that hold them, all but the last L - 1 must hit
+   the union; only groups that they hit are opened, and tokens of many groups (common passages) stand last.
+5. Open: the document is compared with the members of fitting size, first by count sketches that bound the overlap
+   from above, then by whole sets. Links inside a component add nothing, so component ids are exact though not all
+   links are listed.
 
 Defined cases: a null or empty text or one of white space has no set and links with nothing; a text under k words
 has its whole sequence as its one shingle; repeated rows of a doc_id count as copies; rows with a null doc_id are
@@ -36,10 +37,10 @@ from pyspark.sql.window import Window as W
 from harborlight.llm.common import connected_components, materialize, table, with_ids
 from harborlight.llm.textscan import LOWER, blocks, mix, shingle_hashes, span_hashes, words
 
-#: A token of more groups than this is left out of the counts where a document's bound allows it.
-COMMON = 64
 #: Rounds of comparing members with a leader of their group.
-LEADERS = 3
+LEADERS = 2
+#: Buckets of a set's count sketch, one byte each.
+BUCKETS = 512
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -83,14 +84,18 @@ def sketches(docs: DataFrame, t: int, k: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens): the whole sets, ascending."""
+    """(doc_id, tokens, marks): the whole sets, ascending, and how many of their tokens fall in each bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, h, ends in document_sets(b.column("text"), k):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), _lists(h, ends)], names=["doc_id", "tokens"])
+                row = np.repeat(np.arange(hi - lo), np.diff(ends))
+                at = row * BUCKETS + (h >> np.uint64(20)).astype(np.int64) % BUCKETS
+                marks = np.minimum(np.bincount(at, minlength=(hi - lo) * BUCKETS), 255).astype(np.uint8)
+                sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * BUCKETS), pa.py_buffer(marks)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), _lists(h, ends), pa.array(np.diff(ends)), sketch], names=["doc_id", "tokens", "n", "marks"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, tokens array<long>, n long, marks binary")
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
@@ -123,12 +128,33 @@ def _least(n: Column, t: int) -> Column:
     return F.lit(1) + F.floor(F.ceil(n * t / 100) / 5).cast("long")
 
 
+def likely(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose count sketches allow the threshold: the sum of the lesser counts bounds the overlap from
+    above. A full counter says nothing, and its pair stays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ma", "mb"))
+            n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            o = np.minimum(x, y).sum(1, dtype=np.int64)
+            keep = (o * 100 >= (n - o) * t) | (x.max(1) == 255) | (y.max(1) == 255)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("marks").alias(f"m{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold; sketches turn most others away first."""
+    pairs = materialize(likely(pairs, sets, t).distinct(), "likely")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = with_ids(sets.select("doc_id", "tokens"), both, "doc_id")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"t{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
     o = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("o", o).where(F.col("o") * 100 >= (F.size("ta") + F.size("tb") - F.col("o")) * t).select("a", "b").distinct()
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", o)
+    return met.where(F.col("o") * 100 >= (F.size("ta") + F.size("tb") - F.col("o")) * t).select("a", "b").distinct()
 
 
 def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
@@ -151,9 +177,10 @@ def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
 
     # Leaders: of the components still apart in a group, the one of the least document is compared with all others.
     links, placed = None, members.withColumn("comp", F.col("doc_id"))
-    for _ in range(LEADERS):
+    for turn in range(LEADERS):
         heads = placed.groupBy("grp", "comp").agg(F.min("doc_id").alias("a"))
-        lead = heads.groupBy("grp").agg(F.min("a").alias("a"), F.min_by("comp", "a").alias("lead_comp"), F.count("*").alias("parts")).where("parts > 1")
+        draw = F.struct(F.xxhash64("a", F.lit(turn)), "a")  # another leader each turn
+        lead = heads.groupBy("grp").agg(F.min_by("a", draw).alias("a"), F.min_by("comp", draw).alias("lead_comp"), F.count("*").alias("parts")).where("parts > 1")
         pairs = placed.join(lead, "grp").where("comp <> lead_comp").select("a", F.col("doc_id").alias("b"))
         found = materialize(verified(pairs, sets, t), "links")
         if found.isEmpty():
@@ -162,19 +189,19 @@ def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
         placed = together(links)
 
     # The matrix and its bound. The groups are now the components so far: a document is only held against others'.
-    mine = placed.select("doc_id", "comp")
-    kept = kept.select("token", "doc_id", "n").join(mine, "doc_id")
+    kept = kept.select("token", "doc_id", "n").join(placed.select("doc_id", "comp"), "doc_id")
     width = kept.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    marked = materialize(kept.join(width, "token"), "marked").withColumn("common", (F.col("groups") > COMMON).cast("int"))
-    marked = marked.withColumn("bound", _least(F.col("n"), t) - F.sum("common").over(each))
-    query = marked.where("bound < 1 or common = 0").withColumn("need", F.when(F.col("bound") < 1, _least(F.col("n"), t)).otherwise(F.col("bound")))
-    query = query.select("token", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "need")
-    rows = marked.select("token", "comp").distinct()
-    opened = query.join(rows, "token").where("ca <> comp").groupBy("a", "comp").agg(F.count("*").alias("o"), F.first("need").alias("need"), F.first("na").alias("na")).where("o >= need")
-    # Members of a fitting size of the opened groups; each pair once.
+    marked = kept.join(width, "token").withColumn("s", F.count("*").over(each)).withColumn("need", _least(F.col("n"), t)).where("s >= need")
+    # Of s tokens at least `need` are shared with any partner, so one of the s - need + 1 in the fewest groups is; and
+    # the same holds for the partner's own list. Common passages stand last in this order.
+    rare = W.partitionBy("doc_id").orderBy("groups", "token")
+    marked = marked.withColumn("r", F.row_number().over(rare)).where("r <= s - need + 1")
+    matrix = materialize(marked.select("token", "doc_id", "n", "comp"), "marked")
+    query = matrix.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    opened = query.join(matrix.select("token", "comp").distinct(), "token").where("ca < comp").select("a", "na", "comp").distinct()
+    # Members of a fitting size of the opened groups.
     members_of = placed.select("comp", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(members_of, "comp").where((F.col("nb") * 100 >= F.col("na") * t) & (F.col("na") * 100 >= F.col("nb") * t))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = opened.join(members_of, "comp").where((F.col("nb") * 100 >= F.col("na") * t) & (F.col("na") * 100 >= F.col("nb") * t)).select("a", "b")
     last = materialize(verified(pairs, sets, t), "links")
     links = last if links is None else links.union(last)
 

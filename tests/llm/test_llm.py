@@ -286,9 +286,8 @@ def test_jaccard_classes(spark, seed):
     assert set(map(tuple, got.collect())) == brute_classes(rows)
 
 
-def test_common_tokens_fall_back(spark, monkeypatch):
-    monkeypatch.setattr(op6, "COMMON", 1)
-    monkeypatch.setattr(op6, "LEADERS", 1)
+def test_no_leaders(spark, monkeypatch):
+    monkeypatch.setattr(op6, "LEADERS", 0)
     rows = near_copies(9, 50, 80)
     assert set(map(tuple, op6.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_classes(rows)
 
