@@ -12,9 +12,9 @@ Steps, each a Spark job over all documents:
    their whole sets, with the group's leader, which is repeated for the members still apart; the components of the
    links found are the groups. A group's row of the matrix is the union of its members' tokens, so a thousand near
    copies are one row. Tokens of a single group can open nothing and are dropped.
-4. Bound: a query document links into another group only if it shares L(ceil(t * n)) leading tokens with the group's
-   union. So of its shared tokens, in order of the number of groups that hold them, all but the last L - 1 must hit
-   the union; only groups that they hit are opened, and tokens of many groups (common passages) stand last.
+4. Bound: a query document links into another group only if ceil(t * n) of its n tokens are in the group's union. A
+   document with fewer tokens in other groups goes; of the rest, in order of the number of documents that hold
+   them, one of all but the last ceil(t * n) - 1 must hit the union. Only groups that they hit are opened.
 5. Open: the document is compared with the members of fitting size, first by count sketches that bound the overlap
    from above, then by whole sets. Links inside a component add nothing, so component ids are exact though not all
    links are listed.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from harborlight.llm.common import connected_components, materialize, table, with_ids
+from harborlight.llm.common import BROADCAST_IDS, connected_components, materialize, table, with_ids
 from harborlight.llm.textscan import LOWER, blocks, mix, shingle_hashes, span_hashes, words
 
 #: Rounds of comparing members with a leader of their group.
@@ -188,13 +188,18 @@ def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
         links = found if links is None else links.union(found)
         placed = together(links)
 
-    # The matrix and its bound. The groups are now the components so far: a document is only held against others'.
-    kept = kept.select("token", "doc_id", "n").join(placed.select("doc_id", "comp"), "doc_id")
-    width = kept.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    marked = kept.join(width, "token").withColumn("s", F.count("*").over(each)).withColumn("need", _least(F.col("n"), t)).where("s >= need")
-    # Of s tokens at least `need` are shared with any partner, so one of the s - need + 1 in the fewest groups is; and
-    # the same holds for the partner's own list. Common passages stand last in this order.
-    rare = W.partitionBy("doc_id").orderBy("groups", "token")
+    # The matrix and its bound. The groups are now the components so far: a document is only held against others', by
+    # the tokens of its whole set. One shuffle by token serves both the counts and the join with them.
+    ids = placed.select("doc_id", "comp")
+    small = ids.count() <= BROADCAST_IDS
+    whole = sets.select("doc_id", "n", "tokens").join(F.broadcast(ids) if small else ids, "doc_id")
+    tokens = whole.select(F.explode("tokens").alias("token"), "doc_id", "n", "comp").repartition("token")
+    width = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "docs")
+    # A partner shares ceil(t * n) of a document's s tokens that other groups have; so one of the s - ceil(t * n) + 1 in
+    # the fewest documents is shared, and the same holds for the partner's own list. Common passages stand last.
+    need = F.ceil(F.col("n") * t / 100)
+    marked = tokens.join(width, "token").withColumn("s", F.count("*").over(each)).withColumn("need", need).where("s >= need")
+    rare = W.partitionBy("doc_id").orderBy("docs", "token")
     marked = marked.withColumn("r", F.row_number().over(rare)).where("r <= s - need + 1")
     matrix = materialize(marked.select("token", "doc_id", "n", "comp"), "marked")
     query = matrix.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
