@@ -43,9 +43,9 @@ def regex_any(c: Column, words: list[str]) -> Column:
 
 
 def lookup(key: Column, values: dict[str, str]) -> Column:
-    """The value of a literal map; null for other keys."""
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), key)
+    """The value of a fixed map; null for other keys. The map is one folded literal, not a node an entry."""
+    text = ";".join(f"{k}={v}" for k, v in values.items())
+    return F.element_at(F.str_to_map(F.lit(text), F.lit(";"), F.lit("=")), key)
 
 
 def truthy(c: Column | str) -> Column:

@@ -108,10 +108,15 @@ def listing_title(c: Column | str) -> Column:
     return F.when(~is_noisy_title(t) & (F.length(t) <= 140) & (word_count(t) >= 2), t)
 
 
+def capped_title(c: Column | str) -> Column:
+    """A clean title cut to 140 characters; "Untitled" when blank."""
+    t = col(c)
+    return F.when(t == "", "Untitled").when(F.length(t) > 140, F.concat(F.rtrim(F.substring(t, 1, 137)), F.lit("..."))).otherwise(t)
+
+
 def normal_title(c: Column | str) -> Column:
     """Clean title of at most 140 characters; "Untitled" when blank."""
-    t = clean_scraped(c)
-    return F.when(t == "", "Untitled").when(F.length(t) > 140, F.concat(F.rtrim(F.substring(t, 1, 137)), F.lit("..."))).otherwise(t)
+    return capped_title(clean_scraped(c))
 
 
 def is_uuid_like(c: Column | str) -> Column:

@@ -21,18 +21,22 @@ def extract_jobs(scrapes: DataFrame, now_ms: int, column: str = "payload") -> Da
     row = F.col("row")
     rows = scrapes.withColumn("row", F.explode(payload.payload_rows(payload.variant(column)))).drop(column)
     kept = [c for c in rows.columns if c != "row"]
-    # In steps, so that what later columns share is computed once.
+    # In steps behind generators of one row each: filters on a later step are not rewritten into copies of the earlier ones.
+    step = lambda df, name, **fields: df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(k) for k, c in fields.items())))))
     read = rows.select(
         *kept, payload.first_text(row, payload.TITLE_KEYS).alias("_raw"), payload.first_text(row, payload.URL_KEYS).alias("_href"), payload.first_text(row, ["company", "company_name", "employer"]).alias("_firm"),
         F.coalesce(payload.get(row, "$.location.name"), payload.first_text(row, ["location", "location_name", "city"])).alias("_place"), payload.first_text(row, ["level", "seniority"]).alias("_level"),
         payload.first_text(row, ["remote"]).alias("_remote"), payload.pay_range(payload.get(row, "$.salary", "variant")).alias("_range"), payload.number(row, "$.total_compensation").alias("_sum"),
         payload.first_text(row, ["compensation", "salary", "pay"]).alias("_pay"), payload.first_text(row, ["posted_at", "postedAt", "updated_at", "first_published", "date"]).alias("_at"),
     )
-    clean = read.withColumn("_title", text.clean_scraped("_raw")).withColumn("url", url.job_url("_href"))
-    named = clean.withColumn("_named", F.when(~text.is_noisy_title("_title"), F.col("_title")).otherwise(url.title_from_url("url"))).where("url is not null and _named is not null")
-    paid = named.withColumn("_paid", F.coalesce("_range", "_sum", pay.pay_from_field("_pay"))).withColumn("_posted", clock.posted_at("_at", F.lit(now_ms)))
+    clean = step(read, "_c", title=text.clean_scraped("_raw"), url=url.job_url("_href"))
+    title, link = F.col("_c.title"), F.col("_c.url")
+    named = step(clean, "_n", title=F.when(~text.is_noisy_title(title), title).otherwise(url.title_from_url(link)), url=link)
+    named = named.where("_n.url is not null and _n.title is not null").withColumn("url", F.col("_n.url")).withColumn("_named", F.col("_n.title"))
+    paid = step(named, "_p", sum=F.coalesce("_range", "_sum", pay.pay_from_field("_pay")), posted=clock.posted_at("_at", F.lit(now_ms)))
+    paid = paid.withColumn("_paid", F.col("_p.sum")).withColumn("_posted", F.col("_p.posted"))
     return paid.select(
-        *kept, text.normal_title("_named").alias("title"), "url", F.coalesce(F.col("_firm"), F.nullif(url.company_from_url("url"), F.lit(""))).alias("company"), F.coalesce("_place", F.lit("Unknown")).alias("location"),
+        *kept, text.capped_title("_named").alias("title"), "url", F.coalesce(F.col("_firm"), F.nullif(url.company_from_url("url"), F.lit(""))).alias("company"), F.coalesce("_place", F.lit("Unknown")).alias("location"),
         pay.level_at_ingest("_level", "_named").alias("level"), pay.remote_at_store(F.col("_remote"), F.col("_place"), F.col("_named")).alias("remote"),
         F.coalesce("_paid", F.lit(0.0)).alias("totalCompensation"), F.col("_paid").isNull().alias("compensationUnknown"),
         F.col("_posted.ms").alias("postedAt"), F.col("_posted.unknown").alias("postedAtUnknown"), text.engineer_flag("_named").alias("engineer"),

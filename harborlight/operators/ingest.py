@@ -22,9 +22,9 @@ def activity(scrapes: DataFrame) -> DataFrame:
     return scrapes.select("sourceUrl", "startedAt", "completedAt", payload.count_rows(payload.variant("payload")).cast("long").alias("jobCount"))
 
 
-def jobs_of(scrapes: DataFrame, stored: DataFrame, gate: Column, now_ms: int) -> dict[str, DataFrame]:
-    """Rows that insert into jobs and job details, and those that are ignored by the gate; the first row an address wins."""
-    rows = extract.with_places(extract.extract_jobs(scrapes, now_ms)).withColumn("_ok", F.coalesce(gate, F.lit(False)))
+def jobs_of(rows: DataFrame, stored: DataFrame, gate: Column) -> dict[str, DataFrame]:
+    """Extracted rows that insert into jobs and job details, and those that are ignored by the gate; the first row an address wins."""
+    rows = rows.withColumn("_ok", F.coalesce(gate, F.lit(False)))
     fresh = merge.insert_absent(stored, rows.where("_ok"), ["url"], [F.col("startedAt"), F.col("title")]).drop("_ok")
     ignored = rows.where("not _ok").select("url", "title", F.lit("filtered").alias("reason")).dropDuplicates(["url"])
     jobs, details = merge.split_columns(fresh.withColumn("_id", F.sha2("url", 256)), "_id", ["completedAt"], "jobId")
@@ -35,13 +35,13 @@ def batch_writer(path: str, read_jobs: Callable[[], DataFrame], gate: Column, no
     """A foreachBatch function that writes every sink under the batch's own folder, so that a replay overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            sinks = {"scrapes": trimmed(batch), "activity": activity(batch), **jobs_of(batch, read_jobs(), gate, now_ms)}
-            for name, df in sinks.items():
-                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        finally:
-            batch.unpersist()
+        at = lambda name: f"{path}/{name}/batch={number}"
+        extracted = extract.extract_jobs(batch, now_ms)
+        extracted.write.mode("overwrite").parquet(at("extracted"))
+        rows = batch.sparkSession.read.schema(extracted.schema).parquet(at("extracted"))
+        sinks = {"scrapes": trimmed(batch), "activity": activity(batch), **jobs_of(rows, read_jobs(), gate)}
+        for name, df in sinks.items():
+            df.write.mode("overwrite").parquet(at(name))
 
     return write
 

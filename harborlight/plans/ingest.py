@@ -47,7 +47,8 @@ SELECT link AS url, count(*) AS one FROM (SELECT DISTINCT {_LINK} AS link FROM p
 def ingest_new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, then insert-if-absent: one row an address that is not stored; every sixth page is."""
     stored = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 6 = 0").select(url.job_url("url").alias("url"))
-    jobs = ingest.jobs_of(scrapes(spark, sf_dir), stored, F.lower("title").contains("tion"), NOW_MS)["jobs"]
+    rows = extract.extract_jobs(scrapes(spark, sf_dir), NOW_MS)
+    jobs = ingest.jobs_of(rows, stored, F.lower("title").contains("tion"))["jobs"]
     return jobs.groupBy("url").agg(F.count("*").alias("one"))
 
 
