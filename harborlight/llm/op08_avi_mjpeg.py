@@ -7,8 +7,11 @@ its end-of-block code, and whole frames pack and unpack as arrays. Films have a
 `idx1` index. The reader finds frames by the index, or by walking `movi` where there is none; it takes any baseline
 grey or YCbCr frame with restart markers, custom tables or 4:2:0 sampling, by bit, and its own frames by array.
 
-Shots: a cut stands where the histogram difference of two frames exceeds the mean plus three deviations of the
-film's differences, and a fixed floor.
+Shots: a cut stands where the histogram difference of two frames exceeds a fixed floor and the local level of
+motion: the lower median of the differences around it, itself left out, plus three of their deviations. Cuts up to
+every other frame thus don't raise the threshold. Of films of two or three frames the floor alone decides; frames that
+share next to no grey level are always cut. Where more than half of the differences nearby are alike and smaller than
+that, they count as motion.
 
 Defined cases: a null or empty text is one row of zero bytes; equal texts give equal films; repeated rows are
 treated alike; a file that is no AVI film has no clips; an empty table gives no rows; extra columns are carried;
@@ -31,6 +34,8 @@ from harborlight.llm.common import table, text_batches
 
 #: Payload bytes of a block row, block rows of a frame at most, frames a second.
 UNIT, MOST_ROWS, RATE = 64, 16, 25
+#: Differences on either side that tell the local level of motion; a difference that is a cut whatever stands around.
+REACH, SURE = 12, 0.95
 
 _ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 
@@ -289,12 +294,20 @@ def frame_levels(raw: bytes) -> np.ndarray:
 
 
 def cuts(histograms: np.ndarray, floor: float = 0.3, width: float = 3.0) -> list[int]:
-    """First frames of the shots: adaptive threshold on the differences of normalised histograms."""
+    """First frames of the shots: local adaptive threshold on the differences of normalised histograms."""
     if len(histograms) < 2:
         return [0] * len(histograms)
     h = histograms / np.maximum(1, histograms.sum(1))[:, None]
     d = np.abs(np.diff(h, axis=0)).sum(1) / 2
-    return [0, *(np.flatnonzero((d > d.mean() + width * d.std()) & (d > floor)) + 1).tolist()]
+    i, size = np.arange(len(d)), min(len(d), 2 * REACH + 1)
+    first = np.clip(i - REACH, 0, len(d) - size)
+    others = np.lib.stride_tricks.sliding_window_view(d, size)[first][np.arange(size) != (i - first)[:, None]].reshape(len(d), size - 1)
+    low = np.sort(others, axis=1)[:, : (size - 1) // 2]
+    level = np.zeros(len(d))
+    if low.shape[1]:
+        middle = low[:, -1]
+        level = middle + width * np.maximum(1.4826 * np.median(middle[:, None] - low, axis=1), middle / 10)
+    return [0, *(np.flatnonzero((d > floor) & ((d > level) | (d > SURE))) + 1).tolist()]
 
 
 def clips(film: dict, levels: list[np.ndarray]) -> list[dict]:

@@ -377,6 +377,23 @@ def test_shots():
     assert [(c["start"], c["end"], c["frames"]) for c in got] == [(0.0, 0.4, 10), (0.4, 1.0, 15)]
 
 
+@pytest.mark.parametrize("lengths", [[1, 1], [1, 1, 1], [2, 3], [5, 6], [1, 9], [1, 1, 1, 1, 1, 1], [2] * 30, [3] * 20, [4, 1, 2, 7] * 9, [100, 3, 2, 2, 100]])
+def test_shots_of_short_films_and_frequent_cuts(lengths):
+    levels = [np.full(1024, 220 if k % 2 else 20, np.uint8) for k, n in enumerate(lengths) for _ in range(n)]
+    film = op8.read_avi(op8.write_avi([op8.encode_frame(x) for x in levels], 512, 128))
+    assert [c["frames"] for c in op8.clips(film, levels)] == lengths
+
+
+def test_shots_amid_motion():
+    rng = np.random.default_rng(4)
+    for n in (9, 80):
+        moving = [np.concatenate([rng.integers(0, 128, 512), rng.integers(lo, lo + 16, 512)]) for lo in rng.integers(0, 100, n)]  # each frame differs from the last by about a half
+        histograms = np.array([np.bincount(x >> 3, minlength=32) for x in moving])
+        assert np.median(np.abs(np.diff(histograms, axis=0)).sum(1) / 2048) > 0.3 and op8.cuts(histograms) == [0]
+        other = np.array([np.bincount((x + 128) >> 3, minlength=32) for x in moving])
+        assert op8.cuts(np.concatenate([histograms, other])) == [0, n]
+
+
 def test_film_columns(spark, odd, none):
     rows = op8.film_digests(odd).collect()
     texts = {r.doc_id: (r.text or "") for r in odd.collect()}
