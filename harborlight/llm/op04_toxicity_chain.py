@@ -1,14 +1,19 @@
 """Toxicity categories by a chain of linear models.
 
 Features are the first 4, 5 and 6 bytes of lower-cased words, a closing space included, so that inflections of a
-word share some; the most telling of them over the labelled sample (chi-square against any category) are kept.
-The categories come in a fixed order. Each is a ridge-penalised logistic model of the features and of the earlier
+word share some; the most telling of them over the labelled sample (chi-square against toxicity) are kept.
+The labels table marks toxicity alone. Two finer categories, called themes as the data give them no names, are read off
+the labelled sample: the features that tell of toxicity are split in two groups by the documents they occur in, and a
+toxic document is of a theme if it has a feature of its group. No word of any language is written down here.
+The categories come in a fixed order, toxicity last. Each is a ridge-penalised logistic model of the features and of the earlier
 categories' log odds; in training these come from models fitted without the row's own fold. Scoring runs the whole
 chain on each document in one pass; the model is of bounded size.
 
 Defined cases: a null or empty text takes the intercepts' probabilities; a category whose labels are missing or of
 one class gets the smoothed share of its class; a null label of a category leaves the row out of that category's
-model alone; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored.
+model alone; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored. A toxic
+document with no telling feature says nothing of either theme. Where no feature is telling, both themes are of one
+class, and where the telling ones all stand in the same documents, the second is; toxicity is learnt all the same.
 """
 
 from __future__ import annotations
@@ -28,10 +33,9 @@ from harborlight.llm.textscan import LOWER, blocks, words
 #: Labelled documents to fit on, features to keep at most, their least chi-square, folds of the out-of-fold predictions.
 FIT_ROWS, FEATURES, LEAST_CHI, FOLDS = 30_000, 4096, 15.0, 5
 SIZES = (4, 5, 6)
-#: The labels table marks toxicity alone; two finer categories are read off the toxic documents of the sample by
-#: these words. A toxic document with none of them tells nothing of either.
-CATEGORY_WORDS = {"insult": ["idiot", "moron", "loser", "clown", "scum"], "contempt": ["stupid", "pathetic", "worthless", "disgusting", "trash"]}
-CHAIN = [*CATEGORY_WORDS, "toxic"]
+#: The chi-square from which a feature that leans to toxicity shapes a theme, rounds of splitting the features.
+THEME_CHI, SPLITS = 20.0, 15
+CHAIN = ["theme_1", "theme_2", "toxic"]
 
 
 def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -163,13 +167,36 @@ def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray
     return models
 
 
-def category_labels(sample: DataFrame) -> DataFrame:
-    """Adds the finer categories to (text, label of toxicity)."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    has = {c: text.rlike("(^|[^a-z])(" + "|".join(w) + ")([^a-z]|$)") for c, w in CATEGORY_WORDS.items()}
-    told = has["insult"] | has["contempt"]
-    finer = [F.when(F.col("label") == 0, 0.0).when(told, h.cast("double")).alias(c) for c, h in has.items()]
-    return sample.select("doc_id", "text", *finer, F.col("label").cast("double").alias("toxic"))
+def split_features(x: Rows) -> np.ndarray:
+    """True for the features of the second of two groups: spherical 2-means of columns, none of them empty."""
+    size = np.sqrt(x.back(np.ones(x.shape[0])))
+    group = np.zeros(x.shape[1], bool)
+    if not len(group):
+        return group
+    near = lambda w: (lambda c: x.back(c / np.linalg.norm(c)) / size)(x.dot(w / size))
+    far = size * (1 - near(np.arange(len(size)) == size.argmax()))
+    if far.max() < 1e-6:
+        return group
+    centres = [np.arange(len(size)) == size.argmax(), np.arange(len(size)) == far.argmax()]
+    for _ in range(SPLITS):
+        now = near(centres[1]) > near(centres[0]) + 1e-9
+        if now.all() or not now.any() or (now == group).all():
+            break
+        group, centres = now, [~now, now]
+    return group
+
+
+def themes(x: Rows, toxic: np.ndarray) -> np.ndarray:
+    """Labels of the two themes, a column each: nan for a toxic row without a telling feature."""
+    n, p, a, k = x.shape[0], toxic.sum(), x.back(toxic), x.back(np.ones(x.shape[0]))
+    odd = k * (n - k) * p * (n - p)
+    telling = (a * n > k * p) & ((a * n - k * p) ** 2 * n >= THEME_CHI * odd) & (odd > 0)
+    place = np.cumsum(telling) - 1
+    on = telling[x.cols]
+    told = Rows(x.rows[on], place[x.cols[on]], (n, int(telling.sum())))
+    second = split_features(told.take(np.flatnonzero(toxic == 1)))
+    has = np.column_stack([told.dot(w.astype(float)) > 0 for w in (~second, second)])
+    return np.where(toxic[:, None] == 0, 0.0, np.where(has.any(axis=1)[:, None], has, np.nan))
 
 
 def telling_features(sample: DataFrame, categories: list[str], features: int) -> np.ndarray:
@@ -199,8 +226,9 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
     return np.sort(np.array([r.key for r in best.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
 
 
-def fit(sample: DataFrame, categories: list[str], features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
-    chosen = telling_features(sample, categories, features)
+def fit(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The chosen features and the chain's models, from (doc_id, text, toxic)."""
+    chosen = telling_features(sample, ["toxic"], features)
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Chosen(chosen)
@@ -209,23 +237,23 @@ def fit(sample: DataFrame, categories: list[str], features: int = FEATURES) -> t
             for lo, hi, keys, rows in word_keys(b.column("text")):
                 rows, cols = kept.hits(keys, rows)
                 out += np.split(cols.astype(np.int32), np.cumsum(np.bincount(rows, minlength=hi - lo))[:-1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in categories), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", *categories, "features"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
-            models = [np.zeros(len(chosen) + j + 1) for j in range(len(categories))]
+            models = [np.zeros(len(chosen) + j + 1) for j in range(len(CHAIN))]
         else:
             t = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
             column = t["features"].combine_chunks()
             count = np.asarray(pa.compute.list_value_length(column))
             x = Rows(np.repeat(np.arange(len(count)), count), np.asarray(column.flatten()).astype(np.int64), (len(count), len(chosen)))
-            y = np.column_stack([t[c].to_numpy() for c in categories])
+            toxic = t["toxic"].to_numpy()
+            y = np.column_stack([themes(x, toxic), toxic])
             models = fit_chain(x, y, np.random.default_rng(11).permutation(len(count)) % FOLDS)
         yield pa.RecordBatch.from_arrays([pa.array([m.tolist() for m in models], pa.list_(pa.float64())), pa.array(range(len(models)), pa.int32())], names=["w", "place"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in categories) + ", features array<int>"
-    made = sample.mapInArrow(rows_of, schema).repartition(1).mapInArrow(learn, "w array<double>, place int").collect()
+    made = sample.mapInArrow(rows_of, "doc_id long, toxic double, features array<int>").repartition(1).mapInArrow(learn, "w array<double>, place int").collect()
     return chosen, [np.array(r.w) for r in sorted(made, key=lambda r: r.place)]
 
 
@@ -256,10 +284,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Adds p_insult, p_contempt and p_toxic to documents (doc_id, text), by labels (doc_id, toxic)."""
+    """Adds p_theme_1, p_theme_2 and p_toxic to documents (doc_id, text), by labels (doc_id, toxic)."""
     text_batches(docs.sparkSession)
-    sample = materialize(category_labels(labelled_sample(docs, labels, "toxic", fit_rows)), "toxic-sample")
-    return score(docs, fit(sample, CHAIN), CHAIN)
+    sample = labelled_sample(docs, labels, "toxic", fit_rows).select("doc_id", "text", F.col("label").cast("double").alias("toxic"))
+    return score(docs, fit(materialize(sample, "toxic-sample")), CHAIN)
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

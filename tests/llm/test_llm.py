@@ -189,6 +189,40 @@ def test_chain_feeds_later_models():
     assert len(models[0]) == 7 and len(models[1]) == 8 and models[1][6] > 0
 
 
+def toxic_corpus(spark, words):
+    """300 clean and 100 toxic documents; every toxic one has two words of one of the lists in turn."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        text = [f"wort{rng.randrange(300)}x" for _ in range(20)]
+        if i < 100 and words:
+            text[3:5] = rng.sample(words[i % len(words)], 2)
+        rows.append((i, " ".join(text), int(i < 100), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, half int")
+    return docs, docs.select("doc_id", "toxic")
+
+
+def test_themes_come_from_the_labels(spark):
+    docs, labels = toxic_corpus(spark, [["blödkopf", "trottel", "depp"], ["cretino", "scemo", "buffone"]])
+    got = op4.toxicity(docs, labels).where(~labelled.held_out() | (F.col("doc_id") < 100)).collect()
+    mean = lambda c, toxic, half: np.mean([r[f"p_{c}"] for r in got if r.toxic == toxic and r.half == half])
+    first = 0 if mean("theme_1", 1, 0) > 0.5 else 1
+    for c, half in (("theme_1", first), ("theme_2", 1 - first)):
+        assert mean(c, 1, half) > 0.7 and mean(c, 1, 1 - half) < 0.2 and mean(c, 0, half) < 0.2
+    sample = labelled.labelled_sample(docs, labels, "toxic", 1000).selectExpr("doc_id", "text", "cast(label as double) toxic")
+    models = op4.fit(sample)[1]
+    assert len(models) == 3 and (models[2][-3:-1] > 0).all()
+
+
+def test_toxicity_without_themes(spark):
+    docs, labels = toxic_corpus(spark, [])
+    assert len({r.p_theme_1 for r in op4.toxicity(docs, labels).collect()} | {r.p_theme_2 for r in op4.toxicity(docs, labels).collect()}) == 1
+    x = op4.Rows(np.repeat(np.arange(20), 2), np.tile([0, 1], 20), (60, 2))
+    toxic = (np.arange(60) < 25).astype(float)
+    got = op4.themes(x, toxic)
+    assert (got[:20, 0] == 1).all() and (got[:20, 1] == 0).all() and np.isnan(got[20:25]).all() and (got[25:] == 0).all()
+
+
 def test_quality_held_out(spark, docs, odd, none):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     got = op10.op10_quality_nbsvm(spark, DIR).join(labels, "doc_id").where("held_out")
