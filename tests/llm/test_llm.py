@@ -269,6 +269,26 @@ def test_block_reaches_aliases(spark):
     assert op5.judge(spark.createDataFrame([], "page_id long, url string, html string"), op5.RULES).count() == 0
 
 
+def test_every_link_joins(spark):
+    bad, canon = "https://bad.com/en/1", '<link rel="canonical" href="{}">'
+    blocked = [
+        canon.format("https://o.xyz/1") + canon.format(bad),  # the second canonical link
+        '<meta http-equiv="refresh" content="0; url=https://o.xyz/2"><META content="5;URL=\'https://bad.com/en/1\'" http-equiv=Refresh>',
+        '<meta content="0;url=https://bad.com/en/1" http-equiv="refresh">',
+        "<meta http-equiv=refresh content='3, https://bad.com/en/1'>",
+        '<link href="https://bad.com/en/1" data-x="1" rel="alternate canonical">',
+        canon.format("//BAD.com/en/1?x=http://o.xyz"),
+        '<base href="https://bad.com/en/"><link rel=canonical href=1>',
+        canon.format("https://bad.com/en/2/../1"),
+        '<meta http-equiv="refresh" content="0; url="https://bad.com/en/1"">',
+    ]
+    rows = [(0, bad, None), *((i, f"https://x{i}.xyz/p", h) for i, h in enumerate(blocked, 1))]
+    rows += [(50, "https://n.com/en/a/b.html", None), (51, "https://shop.org/q/r/s", canon.format("next.html") + canon.format("../t")), (52, "https://shop.org/q/r/next", canon.format("//n.com/en/a/b")), (53, "https://shop.org/q/t", None)]
+    rows += [(60, "https://q.xyz", '<link rel="canonical" href="..">'), (61, "https://w.xyz/p", canon.format("/r?u=https://bad.com/en/1") + canon.format("mailto:x@bad.com") + canon.format("#a") + '<meta http-equiv="refresh" content="5"><link rel="next" href="https://bad.com/en/1">')]
+    got = {r.page_id: r.verdict for r in op5.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), op5.RULES).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(len(blocked) + 1), 50, 51, 52, 53}
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------
 
 
