@@ -1,7 +1,9 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
-Equal vectors of a label are one point with a weight. A codebook of unit centroids, fitted by spherical k-means on
-a bounded sample, gives every point a home cell: its nearest centroid, apart for each label. A point also visits
+Equal vectors of a label are one point with a weight. Points of one label and length are compared. For each length of
+which a label has more than a cell's points, a codebook of unit centroids, fitted by spherical k-means on
+a bounded sample, gives every point a home cell: its nearest centroid, apart for each label; the points of other
+lengths have one cell each label. A point also visits
 each cell whose border it may have a partner behind: if x lives in cell c and y in cell d, then x lies on c's side
 of the plane between the two centroids, so y's distance to that plane, (y.d - y.c) / |d - c|, is at most the sine
 of the threshold angle. Hence every pair at or above the threshold meets in a cell where one of them lives, and
@@ -9,8 +11,7 @@ nothing is lost. Homes are cut to blocks of bounded size, and every block is com
 the homes and visitors of its cell, one chunk at a time. Each comparison yields link counts and a spanning forest
 of its links, not the links themselves; connected components then give the representative of each group.
 
-Defined cases: vectors that are null, empty, zero, of another length than the codebook's, or with null or
-non-finite components, and rows with a null label, link with nothing and keep themselves; rows with a null vec_id
+Defined cases: vectors that are null, empty, zero, or with null or non-finite components, and rows with a null label, link with nothing and keep themselves; rows with a null vec_id
 are left out; repeated rows of a vec_id count once; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,37 +105,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     grouped = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     points = materialize(grouped.select("label", "rep", "weight", F.col("v").cast("array<double>").alias("v")), "points")
     stats = points.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
-    top = stats.agg(F.max("n").alias("n"), F.max_by("dim", "n").alias("dim")).first()
+    large = stats.where(F.col("n") > CELL).groupBy("dim").agg(F.max("n").alias("n")).collect()
     alone = base.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if top.n is None:
-        return alone
-    points = points.where(F.size("v") == top.dim)
-    centres = codebook(points, max(1, min(CENTROIDS, -(-top.n // CELL))))
+    # A length has a codebook only if some label has more points of it than a cell; these lengths are few.
+    centres = {r.dim: codebook(points.where(F.size("v") == r.dim), min(CENTROIDS, -(-r.n // CELL))) for r in large}
     reach = float(np.sqrt(1 - threshold * threshold)) + 1e-9
-    gaps = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
+    gaps = {dim: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18)) for dim, c in centres.items()}
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = unit(_matrix(b.column("v"))) @ centres.T
-            home = s.argmax(1)
-            margin = (s[np.arange(len(s)), home][:, None] - s) / gaps[home]
-            margin[np.arange(len(s)), home] = 0
-            row, cell = np.nonzero(margin <= reach)
-            out = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([out.column(c) for c in ("label", "rep", "weight", "v")] + [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=["label", "rep", "weight", "v", "cell", "lives"])
+            length = np.asarray(pa.compute.list_value_length(b.column("v")))
+            for dim in np.unique(length):
+                own = b.take(pa.array(np.flatnonzero(length == dim)))
+                if dim in centres:
+                    s = unit(_matrix(own.column("v"))) @ centres[dim].T
+                    home = s.argmax(1)
+                    margin = (s[np.arange(len(s)), home][:, None] - s) / gaps[dim][home]
+                    margin[np.arange(len(s)), home] = 0
+                    row, cell = np.nonzero(margin <= reach)
+                else:
+                    row, cell = np.arange(own.num_rows), np.zeros(own.num_rows, np.int64)
+                    home = cell
+                out = own.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("label", "rep", "weight", "v")] + [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=["label", "rep", "weight", "v", "dim", "cell", "lives"])
 
     kind = points.schema["label"].dataType.simpleString()
-    dealt = materialize(points.mapInArrow(deal, f"label {kind}, rep long, weight long, v array<double>, cell int, lives boolean"), "cells")
+    dealt = materialize(points.mapInArrow(deal, f"label {kind}, rep long, weight long, v array<double>, dim int, cell int, lives boolean"), "cells")
     # Homes are cut to blocks, homes and visitors to chunks; each block meets each chunk of its cell in one small group.
-    cells = dealt.groupBy("label", "cell").agg(F.ceil(F.count_if("lives") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    placed = dealt.join(cells.where("blocks > 0"), ["label", "cell"])
+    cells = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if("lives") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    placed = dealt.join(cells.where("blocks > 0"), ["label", "dim", "cell"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     homes = placed.where("lives").withColumn("block", own("blocks")).withColumn("chunk", spread("chunks")).withColumn("home", F.lit(True))
     others = placed.withColumn("chunk", own("chunks")).withColumn("block", spread("blocks")).withColumn("home", F.lit(False))
-    columns = ["label", "cell", "block", "chunk", "home", "rep", "weight", "v"]
+    columns = ["label", "dim", "cell", "block", "chunk", "home", "rep", "weight", "v"]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Every home's number of linked vectors in this chunk, and a spanning forest of the links.
@@ -153,7 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         u, v = forest(ids[i], ids[j]) if len(i) else (ids[:0], ids[:0])
         return pd.DataFrame({"node": np.concatenate([ids[seen], u]), "other": np.concatenate([ids[seen], v]), "n": np.concatenate([count[seen], np.zeros(len(u), np.int64)])})
 
-    met = homes.select(*columns).union(others.select(*columns)).groupBy("label", "cell", "block", "chunk").applyInPandas(compare, "node long, other long, n long")
+    met = homes.select(*columns).union(others.select(*columns)).groupBy("label", "dim", "cell", "block", "chunk").applyInPandas(compare, "node long, other long, n long")
     met = materialize(met, "links")
     counts = met.groupBy("node").agg(F.sum("n").alias("n"))
     component = connected_components(met.select(F.col("node").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "cnode")

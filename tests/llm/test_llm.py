@@ -507,6 +507,21 @@ def test_many_cells_lose_nothing(spark, monkeypatch, cell, block):
     assert {r.vec_id: r.n_links for r in op9.near_duplicates(df).collect()} == dict(enumerate(count.tolist()))
 
 
+@pytest.mark.parametrize("cell", [8, 1024])
+def test_every_length_is_compared(spark, monkeypatch, cell):
+    monkeypatch.setattr(op9, "CELL", cell)
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for dim, label, n in ((6, 0, 40), (5, 0, 12), (5, 1, 30), (1, 0, 3), (6, 2, 2)):
+        base = rng.normal(size=(n, dim))
+        x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:1]])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want |= dict(enumerate(((u @ u.T >= 0.98).sum(1) - 1).tolist(), len(rows)))
+        rows += [(len(rows) + i, v.tolist(), label) for i, v in enumerate(x)]
+    got = op9.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == want
+
+
 # ---- pipeline -----------------------------------------------------------------------------------------------
 
 
