@@ -222,11 +222,31 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
 
+def _second_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, other) of the texts of a doc_id beyond its first, and a number of 63 bits for each."""
+    texts = docs.where("doc_id is not null").select("doc_id", "_key").groupBy("doc_id").agg(F.sort_array(F.collect_set("_key")).alias("keys"))
+    more = texts.where(F.size("keys") > 1).select("doc_id", F.explode(F.slice("keys", 2, F.size("keys") - 1)).alias("_key"))
+    low = (1 << 62) - 1
+    return materialize(more.withColumn("_other", F.xxhash64("doc_id", "_key").bitwiseAND(F.lit(low)).bitwiseOR(F.lit(low + 1))), "second-texts")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the smallest doc_id of every component stays, in one row; rows without a doc_id stay."""
-    first = similar_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    """Pipeline stage: the smallest doc_id of every component stays, in one row; rows without a doc_id stay.
+
+    Different texts of one doc_id are documents of their own: the first in order of hashes goes by the doc_id, the
+    others by a number above all usual ids. Of rows of one doc_id with equal words the one of least hash stays.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    plain = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), upper, lower), r"[\x20\x09-\x0D]+", " ")
+    keyed = docs.withColumn("_key", F.sha2(F.trim(plain).cast("binary"), 256))
+    second = _second_texts(keyed)
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    if not second.isEmpty():
+        named = keyed.join(second, ["doc_id", "_key"], "left").withColumn("_id", F.coalesce("_other", F.col("doc_id").cast("long")))
+    first = similar_classes(named.select(F.col("_id").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    kept = named.join(first, "_id", "left_semi").groupBy("_id").agg(row)
+    return kept.select("row.*").union(docs.where("doc_id is null").select(*docs.columns))
 
 
 _ORACLE = r"""

@@ -354,6 +354,14 @@ def test_jaccard_odd(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_texts_of_one_id(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (5, text("b").upper()), (1, text("a") + " more"), (2, text("b") + " more"), (6, text("c")), (6, text("d")), (6, text("d")), (7, ""), (7, " "), (8, text("e")), (8, text("e") + " more"), (None, "x")]
+    kept = op6.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept if r.doc_id not in (7, 8)) == [(0, "x"), (1, "a"), (2, "b"), (6, "c"), (6, "d")]
+    assert [r.doc_id for r in kept].count(7) == [r.doc_id for r in kept].count(8) == 1
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------
 
 
