@@ -8,20 +8,24 @@ Steps, each a Spark job over all documents:
    L(n) = 1 + n // 5. Two sets with Jaccard >= t share at least L(min(n1, n2)) leading tokens (general t alike).
    Tokens of a single representative are dropped from the sorted token stream, and so are documents left with
    fewer tokens than any partner would need.
-3. Partition the rest into groups of similar documents: those with the same least surviving token are compared, by
-   their whole sets, with the group's leader, which is repeated for the members still apart; the components of the
-   links found are the groups. A group's row of the matrix is the union of its members' tokens, so a thousand near
-   copies are one row. Tokens of a single group can open nothing and are dropped.
-4. Bound: a query document links into another group only if ceil(t * n) of its n tokens are in the group's union. A
-   document with fewer tokens in other groups goes; of the rest, in order of the number of documents that hold
-   them, one of all but the last ceil(t * n) - 1 must hit the union. Only groups that they hit are opened.
-5. Open: the document is compared with the members of fitting size, first by count sketches that bound the overlap
-   from above, then by whole sets. Links inside a component add nothing, so component ids are exact though not all
-   links are listed.
+3. The whole sets of the documents left: a document has s tokens that others hold too. A partner shares ceil(t * n)
+   of them, so one of the s - ceil(t * n) + 1 in the fewest documents (its lead) is in the partner's lead as well.
+   Tokens that lead the same documents (a passage that many share) count as one.
+4. Partition into groups of similar documents. In each round the leader of a token's list, at first the document with
+   the largest share of common tokens, is compared with the others by whole sets; the components of the links found
+   are cut by size and number into groups of about 32 documents. A group's row of the matrix is the union of its
+   members' tokens, so a thousand near copies are thirty rows.
+5. Bound: documents a and b link only if they share ceil(t * (na + nb) / (1 + t)) tokens, so a document of one component
+   links into a group of another that holds a token of its lead only if so many of its tokens, by the least size of
+   the group, are in the group's union. Lists inside one component are passed over.
+6. Open: the document is compared by whole sets with the members of the groups that qualify, and of those only with
+   members of which either side has tokens enough. Links inside a component add nothing, so component ids are exact
+   though not all links are listed.
 
 Defined cases: a null or empty text or one of white space has no set and links with nothing; a text under k words
-has its whole sequence as its one shingle; repeated rows of a doc_id count as copies; rows with a null doc_id are
-left out; an empty table gives no rows; extra columns are ignored.
+has its whole sequence as its one shingle; repeated rows of a doc_id count as copies, and of different texts of one
+doc_id the least is compared; rows with a null doc_id are left out; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from harborlight.llm.common import BROADCAST_IDS, connected_components, materialize, table, with_ids
 from harborlight.llm.textscan import LOWER, blocks, mix, shingle_hashes, span_hashes, words
 
-#: Rounds of comparing members with a leader of their group.
-LEADERS = 2
-#: Buckets of a set's count sketch, one byte each.
-BUCKETS = 512
+#: Rounds of comparing a token's documents with one of them.
+LEADERS = 3
+#: Documents that a group of the matrix holds, as a mean; their sizes differ by a tenth at most.
+GROUP = 32
+GROUP_KEY = ["comp", "band", "part"]
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,18 +88,14 @@ def sketches(docs: DataFrame, t: int, k: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens, marks): the whole sets, ascending, and how many of their tokens fall in each bucket."""
+    """(doc_id, tokens, n): the whole sets, ascending."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, h, ends in document_sets(b.column("text"), k):
-                row = np.repeat(np.arange(hi - lo), np.diff(ends))
-                at = row * BUCKETS + (h >> np.uint64(20)).astype(np.int64) % BUCKETS
-                marks = np.minimum(np.bincount(at, minlength=(hi - lo) * BUCKETS), 255).astype(np.uint8)
-                sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * BUCKETS), pa.py_buffer(marks)])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), _lists(h, ends), pa.array(np.diff(ends)), sketch], names=["doc_id", "tokens", "n", "marks"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), _lists(h, ends), pa.array(np.diff(ends))], names=["doc_id", "tokens", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>, n long, marks binary")
+    return docs.mapInArrow(run, "doc_id long, tokens array<long>, n long")
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
@@ -128,33 +128,78 @@ def _least(n: Column, t: int) -> Column:
     return F.lit(1) + F.floor(F.ceil(n * t / 100) / 5).cast("long")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose count sketches allow the threshold: the sum of the lesser counts bounds the overlap from
-    above. A full counter says nothing, and its pair stays."""
+def _fits(na: Column, sa: Column, nb: Column, sb: Column, t: int) -> Column:
+    """Whether sets of na and nb tokens, of which sa and sb at most are shared, can reach the threshold."""
+    return F.least(sa, sb) * (100 + t) >= (na + nb) * t
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ma", "mb"))
-            n = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            o = np.minimum(x, y).sum(1, dtype=np.int64)
-            keep = (o * 100 >= (n - o) * t) | (x.max(1) == 255) | (y.max(1) == 255)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("marks").alias(f"m{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+def _rows_once(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) of the members, one row each: of the texts of a repeated doc_id the least."""
+    rows = with_ids(docs, members, "doc_id")
+    again = materialize(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "doc_id", "left_anti").union(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+def leading(docs: DataFrame, members: DataFrame, t: int, k: int) -> DataFrame:
+    """(doc_id, n, s, lead, shared): set size, number of tokens that other members hold, those of them in the fewest
+    documents of which any partner leads with one, and all of them. Members that can have no partner are left out."""
+    tokens = whole_sets(_rows_once(docs, members), k).select(F.explode("tokens").alias("token"), "doc_id", "n").repartition("token")
+    held = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    each = tokens.join(held, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).getField("token").alias("shared"))
+    need = F.ceil(F.col("n") * t / 100).cast("int")
+    each = each.withColumn("s", F.size("shared")).where(F.col("s") >= need)
+    return each.select("doc_id", "n", "s", F.slice("shared", F.lit(1), F.col("s") - need + 1).alias("lead"), "shared")
+
+
+def lists_once(leads: DataFrame) -> DataFrame:
+    """(token, doc_id, n, s) by leading token; of tokens with the same documents one stands for all."""
+    each = leads.select(F.explode("lead").alias("token"), "doc_id", "n", "s")
+    same = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = each.groupBy("token").agg(F.count("*").alias("docs"), *same).where("docs > 1")
+    return each.join(lists.groupBy("docs", "x0", "x1").agg(F.min("token").alias("token")), "token", "left_semi")
+
+
+def _beside(df: DataFrame, placed: DataFrame) -> DataFrame:
+    """df with the columns of placed by doc_id; placed is broadcast up to a checked number of rows."""
+    return df.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; sketches turn most others away first."""
-    pairs = materialize(likely(pairs, sets, t).distinct(), "likely")
-    both = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = with_ids(sets.select("doc_id", "tokens"), both, "doc_id")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"t{c}"))
-    o = F.size(F.array_intersect("ta", "tb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", o)
-    return met.where(F.col("o") * 100 >= (F.size("ta") + F.size("tb") - F.col("o")) * t).select("a", "b").distinct()
+    """The pairs (a, b) whose whole sets reach the threshold; sets has the tokens that may be shared, and sizes."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    first = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ta")).join(few, "a")
+    second = with_ids(sets, pairs.select(F.col("b").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("tb"))
+    met = first.join(second, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+    return met.where(F.col("o") * (100 + t) >= (F.col("na") + F.col("nb")) * t).select("a", "b")
+
+
+def opened_pairs(matrix: DataFrame, kept: DataFrame, placed: DataFrame, t: int) -> DataFrame:
+    """(a, b): documents of different components of which a's tokens meet the bound for the group of b."""
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("docs"))
+    grouped = kept.select("doc_id", "n", "s").join(placed, "doc_id").join(sizes, "comp")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).alias("band")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / GROUP)).alias("part")
+    grouped = materialize(grouped.select("doc_id", "n", "s", "comp", "docs", band, part), "groups")
+
+    rows = _beside(matrix.select("token", "doc_id"), grouped)
+    across = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    rows = materialize(rows.join(across, "token", "left_semi"), "across")
+    union = rows.groupBy("token", "docs", *GROUP_KEY).agg(F.min("n").alias("least"), F.max("s").alias("most"))
+    query = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), F.col("docs").alias("da"))
+    met = query.join(union, "token").where((F.struct("da", "ca") < F.struct("docs", "comp")) & _fits(F.col("na"), F.col("sa"), F.col("least"), F.col("most"), t))
+    asked = materialize(met.groupBy("a", "na", *GROUP_KEY).agg(F.min("least").alias("least")), "asked")
+
+    wanted = grouped.join(asked.select(*GROUP_KEY).distinct(), GROUP_KEY, "left_semi").select("doc_id", *GROUP_KEY)
+    unions = _beside(kept.select("doc_id", "shared"), wanted).groupBy(*GROUP_KEY).agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("union"))
+    own = with_ids(kept.select("doc_id", "shared"), asked.select(F.col("a").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("a"), "shared")
+    overlap = F.size(F.array_intersect("shared", "union"))
+    enough = F.greatest(F.col("least"), F.ceil(F.col("na") * t / 100)) + F.col("na")
+    opened = asked.join(own, "a").join(unions, GROUP_KEY).withColumn("o", overlap).where(F.col("o") * (100 + t) >= enough * t).select("a", "na", "o", *GROUP_KEY)
+    member = grouped.select(*GROUP_KEY, F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return opened.join(member, GROUP_KEY).where(_fits(F.col("na"), F.col("o"), F.col("nb"), F.col("sb"), t)).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
@@ -164,52 +209,27 @@ def similar_classes(docs: DataFrame, t: int = 75, k: int = 5) -> DataFrame:
     reps = materialize(sketch.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep")), "reps")
     leads = with_ids(sketch.where("n > 0"), reps.select(F.col("rep").alias("doc_id")), "doc_id")
     left = shared_tokens(leads.select(F.explode("lead").alias("token"), "doc_id", "n"))
-    # A document with fewer surviving tokens than any partner needs goes; the rest is grouped by its least token.
-    each = W.partitionBy("doc_id")
-    kept = left.withColumn("s", F.count("*").over(each)).withColumn("grp", F.min("token").over(each)).where(F.col("s") >= _least(F.col("n"), t))
-    kept = materialize(kept.select("token", "doc_id", "n", "grp"), "matrix")
-    members = materialize(kept.select("doc_id", "n", "grp").distinct(), "members")
-    sets = materialize(whole_sets(with_ids(docs, members, "doc_id"), k), "sets")
-
-    def together(links: DataFrame) -> DataFrame:
-        c = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        return materialize(members.join(c, members.doc_id == c.node, "left").select("doc_id", "n", "grp", F.coalesce("component", "doc_id").alias("comp")), "placed")
-
-    # Leaders: of the components still apart in a group, the one of the least document is compared with all others.
-    links, placed = None, members.withColumn("comp", F.col("doc_id"))
+    # A document with fewer surviving tokens than any partner needs goes.
+    members = materialize(left.groupBy("doc_id", "n").count().where(F.col("count") >= _least(F.col("n"), t)).select("doc_id").distinct(), "members")
+    kept = materialize(leading(docs, members, t, k), "kept")
+    matrix = materialize(lists_once(kept), "matrix")
+
+    placed, links = kept.select("doc_id", F.col("doc_id").alias("comp")), None
     for turn in range(LEADERS):
-        heads = placed.groupBy("grp", "comp").agg(F.min("doc_id").alias("a"))
-        draw = F.struct(F.xxhash64("a", F.lit(turn)), "a")  # another leader each turn
-        lead = heads.groupBy("grp").agg(F.min_by("a", draw).alias("a"), F.min_by("comp", draw).alias("lead_comp"), F.count("*").alias("parts")).where("parts > 1")
-        pairs = placed.join(lead, "grp").where("comp <> lead_comp").select("a", F.col("doc_id").alias("b"))
-        found = materialize(verified(pairs, sets, t), "links")
+        rows = _beside(matrix, placed)
+        draw = F.struct((F.col("s") * 7 - F.col("n") * 6 if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("by"), "doc_id")
+        head = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa")), draw).alias("head")
+        heads = rows.groupBy("token").agg(head, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "head.*")
+        pairs = rows.join(heads, "token").where((F.col("comp") != F.col("ca")) & _fits(F.col("na"), F.col("sa"), F.col("n"), F.col("s"), t))
+        found = materialize(verified(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")), kept, t), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        placed = together(links)
-
-    # The matrix and its bound. The groups are now the components so far: a document is only held against others', by
-    # the tokens of its whole set. One shuffle by token serves both the counts and the join with them.
-    ids = placed.select("doc_id", "comp")
-    small = ids.count() <= BROADCAST_IDS
-    whole = sets.select("doc_id", "n", "tokens").join(F.broadcast(ids) if small else ids, "doc_id")
-    tokens = whole.select(F.explode("tokens").alias("token"), "doc_id", "n", "comp").repartition("token")
-    width = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "docs")
-    # A partner shares ceil(t * n) of a document's s tokens that other groups have; so one of the s - ceil(t * n) + 1 in
-    # the fewest documents is shared, and the same holds for the partner's own list. Common passages stand last.
-    need = F.ceil(F.col("n") * t / 100)
-    marked = tokens.join(width, "token").withColumn("s", F.count("*").over(each)).withColumn("need", need).where("s >= need")
-    rare = W.partitionBy("doc_id").orderBy("docs", "token")
-    marked = marked.withColumn("r", F.row_number().over(rare)).where("r <= s - need + 1")
-    matrix = materialize(marked.select("token", "doc_id", "n", "comp"), "marked")
-    query = matrix.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    opened = query.join(matrix.select("token", "comp").distinct(), "token").where("ca < comp").select("a", "na", "comp").distinct()
-    # Members of a fitting size of the opened groups.
-    members_of = placed.select("comp", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(members_of, "comp").where((F.col("nb") * 100 >= F.col("na") * t) & (F.col("na") * 100 >= F.col("nb") * t)).select("a", "b")
-    last = materialize(verified(pairs, sets, t), "links")
-    links = last if links is None else links.union(last)
+        comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        placed = materialize(kept.select("doc_id").join(comp, F.col("doc_id") == comp.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
 
+    last = materialize(verified(opened_pairs(matrix, kept, placed, t), kept, t), "links")
+    links = last if links is None else links.union(last)
     comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = reps.select("sig1", "sig2", "n", "rep")
     classes = classes.join(comp, classes.rep == comp.node, "left").select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component_id"))
