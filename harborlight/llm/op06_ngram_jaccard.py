@@ -10,14 +10,16 @@ Steps, each a Spark job over all documents:
    fewer tokens than any partner would need.
 3. The whole sets of the documents left: a document has s tokens that others hold too. A partner shares ceil(t * n)
    of them, so one of the s - ceil(t * n) + 1 in the fewest documents (its lead) is in the partner's lead as well.
-   Tokens that lead the same documents (a passage that many share) count as one.
+   Tokens that lead the same documents (a passage that many share) count as one. The first leading token that two
+   documents share has all others that they share behind it, on both sides.
 4. Partition into groups of similar documents. In each round the leader of a token's list, at first the document with
    the largest share of common tokens, is compared with the others by whole sets; the components of the links found
    are cut by size and number into groups of about 32 documents. A group's row of the matrix is the union of its
    members' tokens, so a thousand near copies are thirty rows.
 5. Bound: documents a and b link only if they share ceil(t * (na + nb) / (1 + t)) tokens, so a document of one component
-   links into a group of another that holds a token of its lead only if so many of its tokens, by the least size of
-   the group, are in the group's union. Lists inside one component are passed over.
+   links into a group of another only if a token of its lead is in a lead there, with so many shared tokens from it
+   on, by the least size in the group, and as many of its tokens are in the group's union. Lists inside one component
+   are passed over.
 6. Open: the document is compared by whole sets with the members of the groups that qualify, and of those only with
    members of which either side has tokens enough. Links inside a component add nothing, so component ids are exact
    though not all links are listed.
@@ -147,18 +149,21 @@ def leading(docs: DataFrame, members: DataFrame, t: int, k: int) -> DataFrame:
     documents of which any partner leads with one, and all of them. Members that can have no partner are left out."""
     tokens = whole_sets(_rows_once(docs, members), k).select(F.explode("tokens").alias("token"), "doc_id", "n").repartition("token")
     held = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    each = tokens.join(held, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).getField("token").alias("shared"))
+    each = tokens.join(held, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("shared"))
     need = F.ceil(F.col("n") * t / 100).cast("int")
     each = each.withColumn("s", F.size("shared")).where(F.col("s") >= need)
-    return each.select("doc_id", "n", "s", F.slice("shared", F.lit(1), F.col("s") - need + 1).alias("lead"), "shared")
+    lead = F.slice("shared", F.lit(1), F.col("s") - need + 1).alias("lead")
+    return each.select("doc_id", "n", "s", lead, F.col("shared.token").alias("shared"))
 
 
 def lists_once(leads: DataFrame) -> DataFrame:
-    """(token, doc_id, n, s) by leading token; of tokens with the same documents one stands for all."""
-    each = leads.select(F.explode("lead").alias("token"), "doc_id", "n", "s")
+    """(token, doc_id, n, s, rest) by leading token, rest counting the shared tokens from it on; of tokens that lead the
+    same documents the first stands for all."""
+    each = leads.select("doc_id", "n", "s", F.posexplode("lead").alias("at", "t")).select("t.token", "t.docs", "doc_id", "n", "s", (F.col("s") - F.col("at")).alias("rest"))
     same = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    lists = each.groupBy("token").agg(F.count("*").alias("docs"), *same).where("docs > 1")
-    return each.join(lists.groupBy("docs", "x0", "x1").agg(F.min("token").alias("token")), "token", "left_semi")
+    lists = each.groupBy("token", "docs").agg(F.count("*").alias("leads"), *same).where("leads > 1")
+    first = lists.groupBy("leads", "x0", "x1").agg(F.min(F.struct("docs", "token")).alias("t")).select("t.token")
+    return each.join(first, "token", "left_semi").drop("docs")
 
 
 def _beside(df: DataFrame, placed: DataFrame) -> DataFrame:
@@ -184,11 +189,11 @@ def opened_pairs(matrix: DataFrame, kept: DataFrame, placed: DataFrame, t: int)
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / GROUP)).alias("part")
     grouped = materialize(grouped.select("doc_id", "n", "s", "comp", "docs", band, part), "groups")
 
-    rows = _beside(matrix.select("token", "doc_id"), grouped)
+    rows = _beside(matrix.select("token", "doc_id", "rest"), grouped)
     across = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rows = materialize(rows.join(across, "token", "left_semi"), "across")
-    union = rows.groupBy("token", "docs", *GROUP_KEY).agg(F.min("n").alias("least"), F.max("s").alias("most"))
-    query = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), F.col("docs").alias("da"))
+    union = rows.groupBy("token", "docs", *GROUP_KEY).agg(F.min("n").alias("least"), F.max("rest").alias("most"))
+    query = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("sa"), F.col("comp").alias("ca"), F.col("docs").alias("da"))
     met = query.join(union, "token").where((F.struct("da", "ca") < F.struct("docs", "comp")) & _fits(F.col("na"), F.col("sa"), F.col("least"), F.col("most"), t))
     asked = materialize(met.groupBy("a", "na", *GROUP_KEY).agg(F.min("least").alias("least")), "asked")
 
