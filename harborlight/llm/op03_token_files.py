@@ -1,7 +1,7 @@
 """Token-id files with keyed access: raw id payloads in shards and a minimal perfect hash from key to place.
 
-Layout under one folder: `ids-<shard>-<attempt>.bin` hold nothing but little-endian ids (16 bits where the
-vocabulary allows it, else 32), shards and documents in ascending key order; `index-<bucket>-<attempt>.mph` map the
+Layout under one folder: `ids-<shard>-<attempt>.bin` hold nothing but little-endian ids (of 16 bits, or of 32 where
+the caller asks for them; an id that does not fit ends the job), shards and documents in ascending key order; `index-<bucket>-<attempt>.mph` map the
 keys whose hash falls in a bucket to shard and offset. A bucket's index is a cascade of bit levels: a key lies at
 the first level where no other key shares its bit, and the number of set bits before it is its slot. Each slot
 stores a 32-bit fingerprint of its key, so that foreign keys are turned away. Files are written by the tasks
@@ -31,8 +31,8 @@ from harborlight.llm.common import fresh_path, materialize, table, text_batches
 from harborlight.llm.op02_byte_bpe import WordTable, slices
 from harborlight.llm.textscan import mix
 
-#: Keys of one index file, about.
-BUCKET_KEYS = 100_000
+#: Keys of one index file and documents of one payload shard, about.
+BUCKET_KEYS, SHARD_ROWS = 100_000, 200_000
 _MAGIC = b"HLMPH1\0\0"
 
 
@@ -165,7 +165,7 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], WordTable],
     spark = docs.sparkSession
     folder_made = f"{folder}/payload"
     text_batches(spark)
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ROWS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = encoder(), TaskContext.get()
@@ -179,6 +179,8 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], WordTable],
                 flat, count = words.encode(texts.slice(lo, hi - lo))
                 close = np.cumsum(count)
                 ids = np.insert(flat, close, end_id)
+                if int(ids.max()) >> 8 * width:
+                    raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
                 count = count + 1
                 out = out or fs.open_output_stream(name)
                 out.write(ids.astype("<u2" if width == 2 else "<u4").tobytes())
@@ -195,7 +197,8 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], WordTable],
 
 
 def write_index(manifest: DataFrame, folder: str) -> DataFrame:
-    """Builds one index file for each bucket of keys; returns (bucket, index_path, n_keys)."""
+    """Builds one index file for each bucket of keys; returns (bucket, index_path, n_keys, buckets), the last being the
+    number of buckets that keys were dealt to, of which some may be empty."""
     buckets = max(1, -(-manifest.count() // BUCKET_KEYS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +216,20 @@ def write_index(manifest: DataFrame, folder: str) -> DataFrame:
             name = f"{root}/index-{k:06d}-{task.taskAttemptId()}.mph"
             with fs.open_output_stream(name) as out:
                 out.write(index_bytes(rows["key"].to_numpy(), rows["shard"].to_numpy(), rows["offset"].to_numpy(), rows["n_ids"].to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name]), pa.array([rows.num_rows], pa.int64())], names=["bucket", "index_path", "n_keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name]), pa.array([rows.num_rows], pa.int64()), pa.array([buckets], pa.int32())], names=["bucket", "index_path", "n_keys", "buckets"])
 
     keyed = manifest.where("key is not null").select("key", "shard", "offset", "n_ids", bucket_of("key", buckets).alias("bucket"))
-    return materialize(keyed.repartition(buckets, "bucket").mapInArrow(run, "bucket int, index_path string, n_keys long"), "index")
+    return materialize(keyed.repartition(buckets, "bucket").mapInArrow(run, "bucket int, index_path string, n_keys long, buckets int"), "index")
 
 
 def bucket_of(key: str, buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def read_keys(keys: DataFrame, manifest: DataFrame, index: DataFrame, folder: str, width: int = 2, key: str = "doc_id") -> DataFrame:
-    """Fetches documents by key through the index: (key, found, shard, offset, ids as bytes of the payload)."""
-    buckets = max(1, index.count())
+def read_keys(keys: DataFrame, manifest: DataFrame, index: DataFrame, folder: str, width: int = 2, key: str = "doc_id", strict: bool = False) -> DataFrame:
+    """Fetches documents by key through the index: (key, found, shard, offset, ids as bytes of the payload). With
+    strict, a key that isn't found ends the job."""
+    buckets = index.agg(F.max("buckets")).first()[0] or 1
     paths = manifest.groupBy("shard").agg(F.min("path").alias("path"))
     wanted = keys.select(F.col(key).cast("long").alias("key")).where("key is not null")
     wanted = wanted.withColumn("bucket", bucket_of("key", buckets)).join(index, "bucket", "left")
@@ -242,6 +246,8 @@ def read_keys(keys: DataFrame, manifest: DataFrame, index: DataFrame, folder: st
                     opened[name] = Index(fs.open_input_file(name).readall())
                 here = names == name
                 found[here], shard[here], offset[here], count[here] = opened[name].lookup(ask[here])
+            if strict and not found.all():
+                raise KeyError(int(ask[~found][0]))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found), pa.array(shard.astype(np.int32)), pa.array(offset), pa.array(count)], names=["key", "found", "shard", "offset", "n_ids"])
 
     placed = wanted.sortWithinPartitions("bucket").mapInArrow(find, "key long, found boolean, shard int, offset long, n_ids long")
@@ -284,7 +290,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-files")
     manifest = write_files(docs, folder, lambda: library_table(vocabulary))
     index = write_index(manifest, folder)
-    read = digests(read_keys(docs.select("doc_id"), manifest, index, folder))
+    read = digests(read_keys(docs.select("doc_id"), manifest, index, folder, strict=True))
     shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     # One row for each shard file: the running sum is over files, not documents.
     base = shards.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("base"))
