@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of fixed capacity.
 
 A document's length is its number of UTF-8 bytes. Documents longer than a bin give full pieces of their own bins;
-what is left of each document is packed. Pieces are dealt to shards by hash, each of a size that one task packs, so
-the number of shards grows with the table and a hot source is spread over all. In a shard pieces come longest
+what is left of each document is packed. Pieces are dealt to shards by the hash of their row, each shard of a size
+that one task packs, so the number of shards grows with the table and a hot source or a hot text is spread over all. In a shard pieces come longest
 first. Open bins are ordered by residual and carry a bitmap of the sources and one of the duplicate clusters that
 they hold; from the first bin that is large enough the successors are searched until one has neither the piece's
 source nor its cluster, which is the tightest compatible bin. If there is none, a bin is opened.
@@ -29,51 +29,80 @@ CAPACITY, SHARD = 8192, 20_000
 
 
 class Bins:
-    """Open bins in the order of their residual, each with the bitmaps of what it holds."""
+    """Open bins in the order of their residual, in blocks; each bin has the bitmap of what it holds, and each block the
+    bits that all its bins have, so that blocks of conflicting bins are passed over in one step."""
+
+    BLOCK = 64
 
     def __init__(self, capacity: int):
         self.capacity, self.made = capacity, 0
-        self.residual: list[int] = []
-        self.bin: list[int] = []
-        self.sources: list[int] = []
-        self.clusters: list[int] = []
-
-    def place(self, length: int, source: int, cluster: int) -> tuple[int, int]:
-        """The bin and the offset in it of a piece with these conflict bits."""
-        i, n = bisect_left(self.residual, length), len(self.residual)
-        sources, clusters = self.sources, self.clusters
-        while i < n and (sources[i] & source or clusters[i] & cluster):
-            i += 1
-        if i == n:
-            left, number, held, copies = self.capacity, self.made, 0, 0
-            self.made += 1
-        else:
-            left, number, held, copies = (x.pop(i) for x in (self.residual, self.bin, self.sources, self.clusters))
-        at = bisect_left(self.residual, left - length)
-        for x, v in ((self.residual, left - length), (self.bin, number), (self.sources, held | source), (self.clusters, copies | cluster)):
+        #: By block: residuals, bin numbers, bitmaps. The last two lists run over the blocks: largest residual, common bits.
+        self.blocks: list[tuple[list[int], list[int], list[int]]] = []
+        self.top: list[int] = []
+        self.common: list[int] = []
+
+    def _settle(self, k: int) -> None:
+        residual, _, held = self.blocks[k]
+        if not residual:
+            for x in (self.blocks, self.top, self.common):
+                del x[k]
+            return
+        bits = held[0]
+        for h in held:
+            bits &= h
+            if not bits:
+                break
+        self.top[k], self.common[k] = residual[-1], bits
+
+    def _add(self, left: int, number: int, held: int) -> None:
+        k = bisect_left(self.top, left)
+        if k == len(self.blocks):
+            if k and len(self.blocks[-1][0]) < self.BLOCK:
+                k -= 1
+            else:
+                self.blocks.append(([], [], []))
+                self.top.append(left)
+                self.common.append(held)
+        block = self.blocks[k]
+        at = bisect_left(block[0], left)
+        for x, v in zip(block, (left, number, held), strict=True):
             x.insert(at, v)
-        return number, self.capacity - left
+        if len(block[0]) > 2 * self.BLOCK:
+            self.blocks[k : k + 1] = [tuple(x[: self.BLOCK] for x in block), tuple(x[self.BLOCK :] for x in block)]
+            self.top.insert(k, 0)
+            self.common.insert(k, 0)
+            self._settle(k)
+            self._settle(k + 1)
+        else:
+            self.top[k], self.common[k] = block[0][-1], self.common[k] & held
 
-    def close(self, least: int) -> None:
-        """Bins that can't take a piece of the least length are no longer searched."""
-        i = bisect_left(self.residual, least)
-        for x in (self.residual, self.bin, self.sources, self.clusters):
-            del x[:i]
+    def place(self, length: int, bits: int) -> tuple[int, int]:
+        """The bin and the offset in it of a piece with these conflict bits."""
+        for k in range(bisect_left(self.top, length), len(self.blocks)):
+            if self.common[k] & bits:
+                continue
+            residual, numbers, held = self.blocks[k]
+            for i in range(bisect_left(residual, length), len(residual)):
+                if not held[i] & bits:
+                    left, number, had = residual.pop(i), numbers.pop(i), held.pop(i)
+                    self._settle(k)
+                    self._add(left - length, number, had | bits)
+                    return number, self.capacity - left
+        self.made += 1
+        self._add(self.capacity - length, self.made - 1, bits)
+        return self.made - 1, 0
 
 
 def pack(length: np.ndarray, source: np.ndarray, cluster: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every piece. Only clusters of several pieces can conflict and get a bit."""
+    """Bin and offset of every piece. Only clusters of several pieces can conflict and get a bit, behind the sources'."""
     kinds, bit = np.unique(source, return_inverse=True)
     _, which, count = np.unique(cluster, return_inverse=True, return_counts=True)
-    many = np.cumsum(count > 1) - 1
+    many = np.cumsum(count > 1) - 1 + len(kinds)
     out, at = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
     bins = Bins(capacity)
-    least = int(length.min()) if len(length) else 0
-    for k, i in enumerate(order.tolist()):
+    for i in order.tolist():
         w = which[i]
-        out[i], at[i] = bins.place(int(length[i]), 1 << int(bit[i]), 1 << int(many[w]) if count[w] > 1 else 0)
-        if k & 1023 == 0:
-            bins.close(least)
+        out[i], at[i] = bins.place(int(length[i]), 1 << int(bit[i]) | (1 << int(many[w]) if count[w] > 1 else 0))
     return out, at
 
 
@@ -84,7 +113,7 @@ def packed(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAP
     full = F.floor(F.col("n") / capacity)
     rest = base.withColumn("piece", full).withColumn("start", full * capacity).withColumn("n", F.col("n") - full * capacity).where("n > 0 or piece = 0")
     shards = max(1, -(-base.count() // shard_pieces))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -96,13 +125,13 @@ def packed(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAP
             rows = t.filter(pa.array(shard == s))
             n, key = rows["n"].to_numpy(), rows["doc_id"].fill_null(-(1 << 62)).to_numpy()
             source = np.array(rows["source"].to_pylist(), object).astype(str)
-            order = np.lexsort((rows["cluster"].to_numpy(), key, -n))
+            order = np.lexsort((rows["row"].to_numpy(), rows["cluster"].to_numpy(), key, -n))
             number, at = pack(n, source, rows["cluster"].to_numpy(), order, capacity)
             names = [pa.array([f"p{s}-{b}" for b in number.tolist()])]
             yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("doc_id", "source", "piece", "start", "n")), *names, pa.array(at)], names=["doc_id", "source", "piece", "start", "length", "bin", "bin_offset"])
 
     schema = "doc_id long, source string, piece long, start long, length long, bin string, bin_offset long"
-    shared = dealt.select("doc_id", "source", "piece", "start", "n", "cluster", "shard").repartition(shards, "shard").mapInArrow(run, schema)
+    shared = dealt.select("doc_id", "source", "piece", "start", "n", "cluster", "row", "shard").repartition(shards, "shard").mapInArrow(run, schema)
     # Pieces as long as a bin fill it: no search, no conflict.
     whole = base.where(F.col("n") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)))
     name = F.format_string("w%d-%d", "row", "piece")
