@@ -16,11 +16,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
     """(doc_id, text, label) of at most `bound` labelled documents outside the held-out third, those of least hash.
 
     The bound is a parameter of the fit: the sample's ids are then small enough to be broadcast. A doc_id with
-    several labels takes the least; one with several rows is used once.
+    several labels takes the least; one with several rows is used once, with the least of its texts.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

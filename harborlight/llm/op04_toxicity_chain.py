@@ -1,7 +1,8 @@
 """Toxicity categories by a chain of linear models.
 
-Features are the first 4, 5 and 6 bytes of lower-cased words, a closing space included, so that inflections of a
-word share some; the most telling of them over the labelled sample (chi-square against toxicity) are kept.
+Features are all runs of 4 and of 6 bytes of the whole lower-cased text, any white space counting as a space, so that
+inflections of a word share some and scripts without spaces are read alike; the most telling of them over the labelled
+sample (chi-square against toxicity) are kept, a fixed number whatever their score.
 The labels table marks toxicity alone. Two finer categories, called themes as the data give them no names, are read off
 the labelled sample: the features that tell of toxicity are split in two groups by the documents they occur in, and a
 toxic document is of a theme if it has a feature of its group. No word of any language is written down here.
@@ -13,12 +14,13 @@ Defined cases: a null or empty text takes the intercepts' probabilities; a categ
 one class gets the smoothed share of its class; a null label of a category leaves the row out of that category's
 model alone; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored. A toxic
 document with no telling feature says nothing of either theme. Where no feature is telling, both themes are of one
-class, and where the telling ones all stand in the same documents, the second is; toxicity is learnt all the same.
+class, and where the telling ones all stand in the same documents, the second is; toxicity is learnt all the same. A
+text of under 4 bytes has no feature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +30,32 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.common import materialize, table, text_batches
 from harborlight.llm.labelled import held_out, labelled_sample, sigmoid
-from harborlight.llm.textscan import LOWER, blocks, words
-
-#: Labelled documents to fit on, features to keep at most, their least chi-square, folds of the out-of-fold predictions.
-FIT_ROWS, FEATURES, LEAST_CHI, FOLDS = 30_000, 4096, 15.0, 5
-SIZES = (4, 5, 6)
+from harborlight.llm.textscan import LOWER, SPACE, blocks
+
+#: Labelled documents to fit on, features to keep at most, folds of the out-of-fold predictions.
+FIT_ROWS, FEATURES, FOLDS = 30_000, 4096, 5
+#: Bytes in a feature, seven at most.
+SIZES = (4, 6)
+#: The penalty on squared weights.
+RIDGE = 1.0
 #: The chi-square from which a feature that leans to toxicity shapes a theme, rounds of splitting the features.
 THEME_CHI, SPLITS = 20.0, 15
 CHAIN = ["theme_1", "theme_2", "toxic"]
 
 
-def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, keys, rows) of blocks, repeats and all; a key packs its bytes and their number."""
     for lo, hi, buf, off in blocks(column):
-        buf = LOWER[buf]
-        start, end, row = words(buf, off)
-        size = end - start
-        wide = np.concatenate([buf, np.zeros(8, np.uint8)])
-        packed = np.zeros(len(start), np.int64)
+        buf = np.where(SPACE[buf], np.uint8(32), LOWER[buf])
+        row = np.repeat(np.arange(hi - lo), np.diff(off))
+        left = np.repeat(off[1:], np.diff(off)) - np.arange(len(buf))  # bytes from here to the end of the text
+        wide = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.int64)
+        packed = np.zeros(len(buf), np.int64)
         keys, rows = [], []
         for j in range(max(SIZES)):
-            at = wide[start + j].astype(np.int64)
-            packed |= np.where(j < size, at, np.where(j == size, 32, 0)) << (8 * j)
+            packed |= wide[j : j + len(buf)] << (8 * j)
             if j + 1 in SIZES:
-                fits = size >= j
+                fits = left > j
                 keys.append(packed[fits] | (j + 1) << 56)
                 rows.append(row[fits])
         yield lo, hi, np.concatenate(keys), np.concatenate(rows)
@@ -106,13 +110,13 @@ class Rows:
         return Rows(place[self.rows[on]], self.cols[on], (len(keep), self.shape[1]))
 
 
-def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of the sparse, then the dense columns, then the intercept: Newton steps solved by conjugate gradients."""
+def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, ridge: float | None = None, rounds: int = 25) -> np.ndarray:
+    """Weights of the sparse, then the dense columns, then the intercept: Newton steps by scaled conjugate gradients."""
     n, d = x.shape[1], dense.shape[1]
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return np.concatenate([np.zeros(n + d), [np.log(share / (1 - share))]])
-    push = np.full(n + d + 1, ridge)
+    push = np.full(n + d + 1, RIDGE if ridge is None else ridge)
     push[n:] = 1e-3
     dot = lambda w: x.dot(w[:n]) + dense @ w[n : n + d] + w[-1]
     back = lambda g: np.concatenate([x.back(g), dense.T @ g, [g.sum()]])
@@ -125,17 +129,19 @@ def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = 1.0, roun
         if np.abs(grad).max() < 1e-4 * len(y):
             break
         h = p * (1 - p)
+        scale = np.concatenate([x.back(h), (dense * dense).T @ h, [h.sum()]]) + push
         step, r = np.zeros_like(w), -grad
-        v, rr = r.copy(), r @ r
-        for _ in range(40):
+        v = r / scale
+        least, rr = 1e-4 * (r @ v), r @ v
+        for _ in range(60):
             hv = back(h * dot(v)) + push * v
             a = rr / (v @ hv)
             step += a * v
             r -= a * hv
-            new = r @ r
-            if new < 1e-4 * (grad @ grad):
+            new = r @ (r / scale)
+            if new < least:
                 break
-            v, rr = r + new / rr * v, new
+            v, rr = r / scale + new / rr * v, new
         t, now = 1.0, loss(z, w)
         while t > 1e-4 and loss(dot(w + t * step), w + t * step) > now:
             t /= 2
@@ -149,22 +155,12 @@ def log_odds(x: Rows, dense: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x.dot(w[:n]) + dense @ w[n : n + d] + w[-1], -12, 12)
 
 
-def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """One weight vector a category; labels: a column each, nan where unknown."""
-    dense, models = np.zeros((x.shape[0], 0)), []
-    for j in range(labels.shape[1]):
-        y = labels[:, j]
-        known = ~np.isnan(y)
-        train = lambda rows, y=y, dense=dense: logistic(x.take(rows), dense[rows], y[rows])
-        models.append(train(np.flatnonzero(known)))
-        if j + 1 == labels.shape[1]:
-            break
-        odds = np.zeros(x.shape[0])
-        for f in np.unique(folds):
-            rest, own = np.flatnonzero(known & (folds != f)), np.flatnonzero(folds == f)
-            odds[own] = log_odds(x.take(own), dense[own], train(rest))
-        dense = np.column_stack([dense, odds])
-    return models
+def fit_one(x: Rows, dense: np.ndarray, y: np.ndarray, folds: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A category's weights learned without one fold (-1: from all rows), the rows of that fold and their log odds; y is
+    nan where unknown."""
+    rest, own = np.flatnonzero(~np.isnan(y) & (folds != fold)), np.flatnonzero(folds == fold)
+    w = logistic(x.take(rest), dense[rest], y[rest])
+    return w, own, log_odds(x.take(own), dense[own], w)
 
 
 def split_features(x: Rows) -> np.ndarray:
@@ -205,7 +201,7 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in categories])
-            for lo, _, keys, rows in word_keys(b.column("text")):
+            for lo, _, keys, rows in byte_runs(b.column("text")):
                 keys, rows = distinct(keys, rows)
                 kinds, at = np.unique(keys, return_inverse=True)
                 total = [np.bincount(at, ~np.isnan(y[lo + rows, j]), len(kinds)).astype(np.int64) for j in range(len(categories))]
@@ -222,8 +218,8 @@ def telling_features(sample: DataFrame, categories: list[str], features: int) ->
         odd = k * (n - k) * p * (n - p)
         return F.when(odd > 0, n * (a * n - k * p) * (a * n - k * p) / odd).otherwise(0.0)
 
-    best = counted.where(F.col("n_toxic") >= 3 if "toxic" in categories else F.lit(True)).select("key", F.greatest(*map(chi, categories), F.lit(0.0)).alias("chi"))
-    return np.sort(np.array([r.key for r in best.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
+    best = counted.select("key", F.greatest(*map(chi, categories), F.lit(0.0)).alias("chi"))
+    return np.sort(np.array([r.key for r in best.where("chi > 0").orderBy(F.desc("chi"), "key").limit(features).collect()], np.int64))
 
 
 def fit(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -234,27 +230,43 @@ def fit(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, list[n
         kept = Chosen(chosen)
         for b in batches:
             out: list[np.ndarray] = []
-            for lo, hi, keys, rows in word_keys(b.column("text")):
+            for lo, hi, keys, rows in byte_runs(b.column("text")):
                 rows, cols = kept.hits(keys, rows)
                 out += np.split(cols.astype(np.int32), np.cumsum(np.bincount(rows, minlength=hi - lo))[:-1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            models = [np.zeros(len(chosen) + j + 1) for j in range(len(CHAIN))]
-        else:
-            t = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
+    def learn(place: int) -> Callable[[pa.Table], pa.Table]:
+        def one(t: pa.Table) -> pa.Table:
+            fold = t["without"][0].as_py()
+            t = t.sort_by("doc_id").combine_chunks()
             column = t["features"].combine_chunks()
             count = np.asarray(pa.compute.list_value_length(column))
             x = Rows(np.repeat(np.arange(len(count)), count), np.asarray(column.flatten()).astype(np.int64), (len(count), len(chosen)))
             toxic = t["toxic"].to_numpy()
-            y = np.column_stack([themes(x, toxic), toxic])
-            models = fit_chain(x, y, np.random.default_rng(11).permutation(len(count)) % FOLDS)
-        yield pa.RecordBatch.from_arrays([pa.array([m.tolist() for m in models], pa.list_(pa.float64())), pa.array(range(len(models)), pa.int32())], names=["w", "place"])
-
-    made = sample.mapInArrow(rows_of, "doc_id long, toxic double, features array<int>").repartition(1).mapInArrow(learn, "w array<double>, place int").collect()
-    return chosen, [np.array(r.w) for r in sorted(made, key=lambda r: r.place)]
+            dense = np.array(t["odds"].to_pylist(), float).reshape(len(count), place)
+            y = np.column_stack([themes(x, toxic), toxic])[:, place]
+            w, own, odds = fit_one(x, dense, y, t["fold"].to_numpy(), fold)
+            if fold < 0:
+                return pa.table({"doc_id": pa.nulls(1, pa.int64()), "own": pa.nulls(1, pa.float64()), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+            return pa.table({"doc_id": t["doc_id"].take(pa.array(own)), "own": pa.array(odds), "w": pa.nulls(len(own), pa.list_(pa.float64()))})
+
+        return one
+
+    # A task a model: one of all rows and one without each fold, category by category.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = sample.mapInArrow(rows_of, "doc_id long, toxic double, features array<int>").select("*", fold, F.array().cast("array<double>").alias("odds"))
+    rows, models = materialize(rows, "toxic-rows"), []
+    for place in range(len(CHAIN)):
+        last = place + 1 == len(CHAIN)
+        without = F.array(*(F.lit(f) for f in ([-1] if last else range(-1, FOLDS))))
+        spread = rows.withColumn("without", F.explode(without)).repartition(4 * FOLDS, "without")
+        made = materialize(spread.groupBy("without").applyInArrow(learn(place), "doc_id long, own double, w array<double>"), "toxic-model")
+        whole = made.where("w is not null").select("w").first()
+        models.append(np.array(whole.w) if whole else np.zeros(len(chosen) + place + 1))
+        if not last:
+            own = F.broadcast(made.where("w is null").select("doc_id", "own"))  # a number a row of the bounded sample
+            rows = materialize(rows.join(own, "doc_id").withColumn("odds", F.concat("odds", F.array("own"))).drop("own"), "toxic-rows")
+    return chosen, models
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categories: list[str]) -> DataFrame:
@@ -268,7 +280,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
         kept = Chosen(chosen)
         for b in batches:
             parts = [np.zeros((0, len(models)))]
-            for lo, hi, keys, rows in word_keys(b.column("text")):
+            for lo, hi, keys, rows in byte_runs(b.column("text")):
                 x = Rows(*kept.hits(keys, rows), (hi - lo, len(chosen)))
                 dense = np.zeros((hi - lo, 0))
                 for w in models:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -166,6 +167,37 @@ def test_token_files(spark, docs, odd, none):
         assert len({r.doc_id for r in got}) == n == len(got)
     strange = spark.createDataFrame([(10**9,)], "doc_id long")
     assert not op3.read_keys(strange, manifest, index, folder).where("found").count()
+    with pytest.raises(Exception, match="KeyError"):
+        op3.read_keys(strange, manifest, index, folder, strict=True).collect()
+
+
+def test_token_files_of_repeated_keys(spark, monkeypatch):
+    """Few keys over many buckets: every key is found and leads to its first text."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(op3, "BUCKET_KEYS", 2)
+    rows = [(7, "same text")] * 9 + [(None, f"none {i}") for i in range(9)] + [(8, "another one"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = common.fresh_path(spark, "f")
+    manifest = op3.write_files(df, folder, lambda: op3.library_table(P.path("byte_bpe_50k.json")))
+    index = op3.write_index(manifest, folder)
+    assert index.first().buckets == 10 > index.count()
+    got = op3.digests(op3.read_keys(df.select("doc_id").distinct(), manifest, index, folder, strict=True)).collect()
+    plain = {k: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for k, t in rows if k}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == {(k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in plain.items()}
+
+
+def test_token_files_refuse_wide_ids(spark):
+    class Wide:
+        def encode(self, texts):
+            return np.full(len(texts), 70_000, np.int64), np.ones(len(texts), np.int64)
+
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 2 bytes"):
+        op3.write_files(df, common.fresh_path(spark, "f"), Wide)
+    assert op3.write_files(df, common.fresh_path(spark, "f"), Wide, width=4).first().n_ids == 2
 
 
 # ---- 4, 10 --------------------------------------------------------------------------------------------------
@@ -185,10 +217,42 @@ def test_chain_feeds_later_models():
     n = 600
     first = rng.integers(0, 2, n)
     x = op4.Rows(np.concatenate([np.flatnonzero(first), np.arange(n)]), np.concatenate([np.zeros(int(first.sum()), int), 1 + rng.integers(0, 5, n)]), (n, 6))
-    models = op4.fit_chain(x, np.column_stack([first, first]).astype(float), np.arange(n) % 5)
+    y, folds, dense, models = first.astype(float), np.arange(n) % 5, np.zeros((n, 0)), []
+    for _ in range(2):
+        models.append(op4.fit_one(x, dense, y, folds, -1)[0])
+        odds = np.zeros(n)
+        for f in range(5):
+            _, own, odds[own] = op4.fit_one(x, dense, y, folds, f)
+        dense = np.column_stack([dense, odds])
     assert len(models[0]) == 7 and len(models[1]) == 8 and models[1][6] > 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_logistic_against_dense_newton(seed):
+    """The sparse solver against plain Newton steps on dense matrices."""
+    rng = np.random.default_rng(seed)
+    n, d = 120, 9
+    on, extra = rng.random((n, d)) < 0.3, rng.normal(size=(n, 1))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(on @ rng.normal(size=d) + extra[:, 0])))).astype(float)
+    got = op4.logistic(op4.Rows(*np.nonzero(on), (n, d)), extra, y)
+    full = np.column_stack([on.astype(float), extra, np.ones(n)])
+    push = np.array([op4.RIDGE] * d + [1e-3, 1e-3])
+    w = np.zeros(d + 2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(full @ w)))
+        w = w - np.linalg.solve(full.T * (p * (1 - p)) @ full + np.diag(push), full.T @ (p - y) + push * w)
+    assert np.abs(got - w).max() < 0.02
+    assert np.abs(op4.log_odds(op4.Rows(*np.nonzero(on), (n, d)), extra, got) - full @ w).max() < 0.05
+
+
+def test_byte_runs():
+    text = "Ab\tcdef g"
+    got = [(k, r) for _, _, keys, rows in op4.byte_runs(pa.array([text, None, "abc"])) for k, r in zip(keys.tolist(), rows.tolist(), strict=True)]
+    plain = text.lower().replace("\t", " ").encode()
+    want = [(int.from_bytes(plain[i : i + m], "little") | m << 56, 0) for m in op4.SIZES for i in range(len(plain) - m + 1)]
+    assert sorted(got) == sorted(want)
+
+
 def toxic_corpus(spark, words):
     """300 clean and 100 toxic documents; every toxic one has two words of one of the lists in turn."""
     rng = random.Random(7)
@@ -411,6 +475,21 @@ def test_tightest_compatible_bin():
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("sources, same", [(1, False), (1, True), (2, True), (5, False), (20_000, False)])
+def test_packing_of_hot_shards(sources, same):
+    """A shard of 20,000 pieces of one source, of equal lengths or with an empty piece is packed without long scans."""
+    rng = np.random.default_rng(sources)
+    n = 20_000
+    length = np.full(n, 900) if same else rng.integers(1, 8000, n)
+    length[0] = 0
+    began = time.perf_counter()
+    bins, at = op7.pack(length, np.arange(n) % sources, rng.integers(0, 3000, n) if sources < 20_000 else np.zeros(n, int), np.argsort(-length, kind="stable"), 8192)
+    assert time.perf_counter() - began < 20
+    pairs = set(zip(bins.tolist(), (np.arange(n) % sources).tolist(), strict=True))
+    assert len(pairs) == n and (at + length <= 8192).all()
+
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------
 
 
