@@ -6,7 +6,9 @@ language and tokenizer version before it is written, so a hot source is pre-aggr
 in a folder of the batch's own name. A batch is committed by its writer's success marker alone; one that is already
 committed is skipped, one that was cut off is written anew, and readers only see committed batches: applying a
 batch again, in any order of arrival, changes nothing. Totals are sums over batches; compaction folds the committed
-ones into one folder that names what it holds.
+ones into one folder, with a ledger of their names beside it: a table of its own, so that it outlives totals that come
+to nothing, and the fold counts only once its ledger is committed. What a compaction has folded is deleted by the next
+one, so that readers of the totals from before can finish.
 
 Defined cases: null source or language is a group of its own; a null or empty text has 0 tokens and still counts as
 a document; repeated rows count each; groups that fall to no documents and no tokens vanish from the totals; an
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from harborlight.llm.common import delete_path, fresh_path, path_exists, table
 
 KEYS = ["source", "lang", "tokenizer"]
-_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batches array<string>"
+_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 class TokenRollup:
@@ -36,24 +38,37 @@ class TokenRollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def committed(self) -> dict[str, list[str]]:
-        """Folder names of committed parts, each with the batches that it holds; what a compaction covers is left out."""
+    def _done(self) -> tuple[list[str], int]:
+        """The folders that their writers have finished, and the number of the last fold whose ledger is (0: none)."""
         fs, root = self._fs()
         if not fs.exists(root):
-            return {}
+            return [], 0
         names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-        done = [n for n in names if path_exists(self.spark, f"{self.folder}/{n}/_SUCCESS")]
-        folds = sorted(n for n in done if n.startswith("fold-"))
-        held = {n: [r.batch for r in self.spark.read.schema(_SCHEMA).parquet(f"{self.folder}/{n}").select(F.explode("batches").alias("batch")).distinct().collect()] for n in folds[-1:]}
-        covered = {b for x in held.values() for b in x}
-        return held | {n: [n.removeprefix("batch-")] for n in done if n.startswith("batch-") and n.removeprefix("batch-") not in covered}
+        done = sorted(n for n in names if path_exists(self.spark, f"{self.folder}/{n}/_SUCCESS"))
+        return done, max((int(n[7:]) for n in done if n.startswith("ledger-")), default=0)
+
+    def ledger(self, number: int) -> DataFrame:
+        """The names of the batches that a fold holds."""
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/ledger-{number:09d}")
+
+    def _folded(self, number: int, batches: list[str]) -> set[str]:
+        """Those of a few batches that are in a fold."""
+        return {r.batch for r in self.ledger(number).where(F.col("batch").isin(batches)).collect()} if number and batches else set()
+
+    def committed(self) -> list[str]:
+        """The folders whose sums make up the totals: the last fold and the batches committed since."""
+        done, fold = self._done()
+        batches = [n[6:] for n in done if n.startswith("batch-")]
+        covered = self._folded(fold, batches)
+        return [f"fold-{fold:09d}"] * bool(fold) + [f"batch-{b}" for b in batches if b not in covered]
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commits signed changes (source, lang, tokenizer, sign, n_tokens); False if the batch was committed before."""
-        if any(batch in b for b in self.committed().values()):
+        done, fold = self._done()
+        if f"batch-{batch}" in done or self._folded(fold, [batch]):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        sums.withColumn("batches", F.array(F.lit(batch))).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
 
     def totals(self) -> DataFrame:
@@ -62,18 +77,21 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed parts into one; the old parts go only after the new one is committed."""
+        """Folds the committed parts into one; the parts stay for readers until the next compaction."""
+        done, fold = self._done()
         parts = self.committed()
-        folds = [int(n[5:]) for n in parts if n.startswith("fold-")]
-        names = sorted({b for x in parts.values() for b in x})
-        if len(parts) < 2:
+        fresh = [n[6:] for n in parts if n.startswith("batch-")]
+        if not fresh:
             return
         rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.folder}/{n}" for n in parts))
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        ledger = F.array(*map(F.lit, names))
-        sums.withColumn("batches", ledger).write.mode("overwrite").parquet(f"{self.folder}/fold-{max(folds, default=0) + 1:09d}")
-        for n in parts:
-            delete_path(self.spark, f"{self.folder}/{n}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/fold-{fold + 1:09d}")
+        names = self.spark.createDataFrame([(b,) for b in fresh], "batch string")
+        names = self.ledger(fold).union(names) if fold else names
+        names.write.mode("overwrite").parquet(f"{self.folder}/ledger-{fold + 1:09d}")
+        for n in done:
+            if n not in parts and not n.endswith(f"-{fold:09d}"):
+                delete_path(self.spark, f"{self.folder}/{n}")
 
 
 def insert(rows: DataFrame) -> DataFrame:
