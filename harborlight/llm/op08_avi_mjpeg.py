@@ -5,7 +5,8 @@ JPEG holds exactly in the block's DC term (quantiser 8, no AC terms). A row of 6
 frame's Huffman table gives a difference of s bits a code of 9 - s bits, so that every block takes ten bits with
 its end-of-block code, and whole frames pack and unpack as arrays. Films have a RIFF header, a `movi` list and an
 `idx1` index. The reader finds frames by the index, or by walking `movi` where there is none; it takes any baseline
-grey or YCbCr frame with restart markers, custom tables or 4:2:0 sampling, by bit, and its own frames by array.
+grey or YCbCr frame with restart markers, custom or no Huffman tables or 4:2:0 sampling, by a window of bits, and frames
+of its own form, whose blocks all have ten bits, by array.
 
 Shots: a cut stands where the histogram difference of two frames exceeds a fixed floor and the local level of
 motion: the lower median of the differences around it, itself left out, plus three of their deviations. Cuts up to
@@ -14,13 +15,14 @@ share next to no grey level are always cut. Where more than half of the differen
 that, they count as motion.
 
 Defined cases: a null or empty text is one row of zero bytes; equal texts give equal films; repeated rows are
-treated alike; a file that is no AVI film has no clips; an empty table gives no rows; extra columns are carried;
+treated alike; a file that is no AVI film has no clips; a dropped or damaged frame shows the one before it and is counted; an empty table gives no rows; extra columns are carried;
 very long texts are films of many frames (one film is in memory at a time).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -161,34 +163,63 @@ def read_avi(raw: bytes) -> dict | None:
 
 
 class _Bits:
+    """Bits of a scan by a window of eight bytes; behind the end stand zero bits."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+        self.data, self.at, self.end = data + b"\0" * 8, 0, len(data) * 8
 
-    def take(self, n: int) -> int:
-        self.left -= n
-        return (self.value >> self.left) & ((1 << n) - 1) if self.left >= 0 else (self.value << -self.left) & ((1 << n) - 1)
+    def peek(self, n: int) -> int:
+        lo = self.at >> 3
+        return (int.from_bytes(self.data[lo : lo + 8], "big") >> (64 - n - (self.at & 7))) & ((1 << n) - 1)
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("no such code")
+    def symbol(self, table: tuple[bytes, bytes]) -> int:
+        code = self.peek(16)
+        size = table[0][code]
+        self.at += size
+        if not size or self.at > self.end:
+            raise ValueError("no such code" if not size else "the scan ends early")
+        return table[1][code]
 
     def signed(self, s: int) -> int:
-        v = self.take(s) if s else 0
-        return v if not s or v >> (s - 1) else v - (1 << s) + 1
+        if not s:
+            return 0
+        v = self.peek(s)
+        self.at += s
+        if self.at > self.end:
+            raise ValueError("the scan ends early")
+        return v if v >> (s - 1) else v - (1 << s) + 1
 
 
-def _huffman(sizes: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    out, code, at = {}, 0, 0
+@lru_cache(64)
+def _huffman(sizes: bytes, symbols: bytes) -> tuple[bytes, bytes]:
+    """Code length and symbol of every 16 bits that may come next; length 0 where no code fits."""
+    length, value, code, at = bytearray(1 << 16), bytearray(1 << 16), 0, 0
     for n, count in enumerate(sizes, 1):
+        span = 1 << (16 - n)
         for _ in range(count):
-            out[n, code] = symbols[at]
-            code, at = code + 1, at + 1
-        code <<= 1
-    return out
+            if code + span > 1 << 16 or at >= len(symbols):
+                raise ValueError("no such Huffman table")
+            length[code : code + span] = bytes([n]) * span
+            value[code : code + span] = symbols[at : at + 1] * span
+            code, at = code + span, at + 1
+    return bytes(length), bytes(value)
+
+
+# The JPEG standard's example tables, which a motion-JPEG frame without tables takes. Number of codes of
+# 1 to 16 bits, then the symbols; of the AC tables all symbols not listed follow in ascending order.
+_DC_LUMA = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
+_DC_CHROMA = (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)
+_AC_LUMA = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
+_AC_LUMA_SYMBOLS = "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"
+_AC_CHROMA = (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119)
+_AC_CHROMA_SYMBOLS = "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"
+
+
+def standard_tables() -> dict[int, tuple[bytes, bytes]]:
+    """Sizes and symbols by class and number, as a DHT segment names them."""
+    rest = lambda first: first + bytes(r << 4 | n for r in range(16) for n in range(1, 11) if r << 4 | n not in first)
+    luma, chroma = rest(bytes.fromhex(_AC_LUMA_SYMBOLS)), rest(bytes.fromhex(_AC_CHROMA_SYMBOLS))
+    return {0x00: (bytes(_DC_LUMA), bytes(range(12))), 0x01: (bytes(_DC_CHROMA), bytes(range(12))), 0x10: (bytes(_AC_LUMA), luma), 0x11: (bytes(_AC_CHROMA), chroma)}
 
 
 @lru_cache(1)
@@ -199,8 +230,12 @@ def _cosines() -> np.ndarray:
 
 def decode_frame(raw: bytes) -> np.ndarray:
     """Grey levels (height, width) of a baseline frame: the only or the luma component."""
-    at, quant, huff, comps, restart = 2, {}, {}, [], 0
+    at, quant, huff, comps, restart = 2, {}, {k: _huffman(*x) for k, x in standard_tables().items()}, [], 0
+    if raw[:2] != b"\xff\xd8":
+        raise ValueError("no frame")
     while True:
+        if at + 4 > len(raw) or raw[at] != 0xFF:
+            raise ValueError("a segment is cut off")
         marker, size = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
         body, at = raw[at + 4 : at + 2 + size], at + 2 + size
         if marker == 0xDB:
@@ -224,8 +259,12 @@ def decode_frame(raw: bytes) -> np.ndarray:
         elif marker == 0xDA:
             for i in range(body[0]):
                 c = next(c for c in comps if c["id"] == body[1 + 2 * i])
+                if c["q"] not in quant:
+                    raise ValueError("no such quantiser")
                 c["dc"], c["ac"] = huff[body[2 + 2 * i] >> 4], huff[16 | body[2 + 2 * i] & 15]
             break
+    if not comps or not high or not wide or any("dc" not in c or not c["h"] or not c["v"] for c in comps):
+        raise ValueError("no whole scan")
     top_h, top_v = max(c["h"] for c in comps), max(c["v"] for c in comps)
     single = len(comps) == 1
     if single:
@@ -234,12 +273,7 @@ def decode_frame(raw: bytes) -> np.ndarray:
     luma = np.zeros((down * comps[0]["v"], across * comps[0]["h"], 64), np.int64)
     end = len(raw)
     data = raw[at : raw.rfind(b"\xff\xd9") if b"\xff\xd9" in raw[at:] else end]
-    parts, lo = [], 0
-    for i in range(len(data) - 1):
-        if data[i] == 0xFF and 0xD0 <= data[i + 1] <= 0xD7:
-            parts.append(data[lo:i])
-            lo = i + 2
-    parts.append(data[lo:])
+    parts = re.split(rb"\xff[\xd0-\xd7]", data)
     unit, step = 0, restart or across * down
     for part in parts:
         bits, last = _Bits(part.replace(b"\xff\x00", b"\xff")), [0] * len(comps)
@@ -256,6 +290,8 @@ def decode_frame(raw: bytes) -> np.ndarray:
                             if rs == 0:
                                 break
                             k += rs >> 4
+                            if k > 63:
+                                raise ValueError("a block has too many terms")
                             if rs != 0xF0:
                                 block[_ZIGZAG[k]] = bits.signed(rs & 15) * quant[c["q"]][k]
                             k += 1
@@ -263,6 +299,8 @@ def decode_frame(raw: bytes) -> np.ndarray:
                         if j == 0:
                             luma[y * c["v"] + v, x * c["h"] + h] = block
         unit += 1
+    if unit < across * down:
+        raise ValueError("the scan ends early")
     base = _cosines()
     pixels = np.einsum("ki,yxkl,lj->yxij", base, luma.reshape(*luma.shape[:2], 8, 8), base)
     grey = np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8)
@@ -293,6 +331,24 @@ def frame_levels(raw: bytes) -> np.ndarray:
     return decode_frame(raw).ravel() if found is None else found
 
 
+def sound_levels(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[bool]]:
+    """The levels of all frames of a film, and which of them can't be decoded. A dropped (empty) or damaged frame shows
+    the one before it, at the film's start the first that can be decoded; a film without any has no levels."""
+    levels: list[np.ndarray | None] = []
+    for a, b in spans:
+        try:
+            levels.append(frame_levels(raw[a:b]))
+        except (ValueError, IndexError, KeyError, StopIteration, struct.error):
+            levels.append(None)
+    bad = [x is None for x in levels]
+    last = next((x for x in levels if x is not None), None)
+    if last is None:
+        return [], bad
+    for i, x in enumerate(levels):
+        last = levels[i] = last if x is None else x
+    return levels, bad
+
+
 def cuts(histograms: np.ndarray, floor: float = 0.3, width: float = 3.0) -> list[int]:
     """First frames of the shots: local adaptive threshold on the differences of normalised histograms."""
     if len(histograms) < 2:
@@ -311,12 +367,12 @@ def cuts(histograms: np.ndarray, floor: float = 0.3, width: float = 3.0) -> list
 
 
 def clips(film: dict, levels: list[np.ndarray]) -> list[dict]:
-    """Timed clip rows: start and end in seconds, frames, mean level."""
+    """Timed clip rows: start and end in seconds, first frame, frames, mean level."""
     first = cuts(np.array([np.bincount(x >> 3, minlength=32) for x in levels]).reshape(-1, 32))
     out = []
     for a, b in zip(first, [*first[1:], len(levels)], strict=True):
         mean = float(np.mean([x.mean() for x in levels[a:b]]))
-        out.append({"start": round(a * film["period"], 6), "end": round(b * film["period"], 6), "frames": b - a, "mean_level": round(mean, 3)})
+        out.append({"start": round(a * film["period"], 6), "end": round(b * film["period"], 6), "first": a, "frames": b - a, "mean_level": round(mean, 3)})
     return out
 
 
@@ -344,21 +400,23 @@ def with_film(docs: DataFrame, text: str = "text", out: str = "film") -> DataFra
 
 
 def film_clips(films: DataFrame, film: str = "film", key: str = "doc_id") -> DataFrame:
-    """One row for each shot of each film: key, clip, start_s, end_s, frames, mean_level."""
+    """One row for each shot of each film: key, clip, start_s, end_s, frames, mean_level, bad_frames (those that can't be
+    decoded). A film none of whose frames can be decoded is one clip without a mean level."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for k, raw in zip(b.column(key).to_pylist(), b.column(film).to_pylist(), strict=True):
                 if raw and (found := read_avi(raw)) and found["frames"]:
-                    shots = clips(found, [frame_levels(raw[x:y]) for x, y in found["frames"]])
-                    out += [(k, i, c["start"], c["end"], c["frames"], c["mean_level"]) for i, c in enumerate(shots)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [b.column(key).type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "clip", "start_s", "end_s", "frames", "mean_level"])
+                    levels, bad = sound_levels(raw, found["frames"])
+                    shots = clips(found, levels) if levels else [{"start": 0.0, "end": round(len(bad) * found["period"], 6), "first": 0, "frames": len(bad), "mean_level": None}]
+                    out += [(k, i, c["start"], c["end"], c["frames"], c["mean_level"], sum(bad[c["first"] : c["first"] + c["frames"]])) for i, c in enumerate(shots)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [b.column(key).type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "clip", "start_s", "end_s", "frames", "mean_level", "bad_frames"])
 
     kind = films.schema[key].dataType.simpleString()
-    return films.select(key, film).mapInArrow(run, f"`{key}` {kind}, clip int, start_s double, end_s double, frames int, mean_level double")
+    return films.select(key, film).mapInArrow(run, f"`{key}` {kind}, clip int, start_s double, end_s double, frames int, mean_level double, bad_frames int")
 
 
 def film_digests(docs: DataFrame) -> DataFrame:

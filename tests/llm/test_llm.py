@@ -104,6 +104,26 @@ def test_cut_off_batch_is_written_anew(spark):
     assert roll.apply("b1", op1.insert(rows)) and roll.totals().first().n_docs == 1
 
 
+def test_rollup_ledger(spark):
+    """Names outlive totals of nothing, and totals read before a compaction can still be read after it."""
+    rows = spark.createDataFrame([("s", "en", "v1", 3), (None, None, "v1", 0)], "source string, lang string, tokenizer string, n_tokens long")
+    roll = op1.TokenRollup(spark, common.fresh_path(spark, "t"))
+    for b in ("b1", "b2"):
+        assert roll.apply(b, op1.insert(rows.limit(0)))
+    roll.compact()
+    assert not roll.apply("b1", op1.insert(rows)) and not roll.apply("b2", op1.insert(rows)) and roll.totals().count() == 0
+    assert roll.apply("b3", op1.insert(rows))
+    before = roll.totals()
+    roll.compact()
+    roll.compact()
+    assert sorted(map(tuple, before.collect()), key=str) == sorted(map(tuple, roll.totals().collect()), key=str) and before.count() == 2
+    assert roll.apply("b4", op1.delete(rows))
+    roll.compact()
+    assert roll.totals().count() == 0 and not any(roll.apply(f"b{i}", op1.insert(rows)) for i in range(1, 5))
+    assert sorted(r.batch for r in roll.ledger(3).collect()) == ["b1", "b2", "b3", "b4"]
+
+
+
 # ---- 2, 3 ---------------------------------------------------------------------------------------------------
 
 
@@ -509,6 +529,106 @@ def test_films_round_trip():
     assert op8.read_avi(b"RIFF....WAVE") is None and op8.read_avi(b"") is None
 
 
+def jpeg(grid, quant, high, wide, sampling=0x11, restart=0, tables=False):
+    """A baseline frame written by the standard's text alone: grid[mcu] lists (component, 64 quantised zig-zag terms)."""
+    std = op8.standard_tables()
+    book = {}
+    for k, (sizes, symbols) in std.items():
+        code, at = 0, 0
+        for n, count in enumerate(sizes, 1):
+            for _ in range(count):
+                book[k, symbols[at]] = format(code, f"0{n}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+    parts = 3 if sampling != 0x11 else 1
+    number = lambda v: "" if not v else format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b")
+    body, bits, last = b"", "", [0, 0, 0]
+    pack = lambda bits: int(bits + "1" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big").replace(b"\xff", b"\xff\x00")
+    for m, mcu in enumerate(grid):
+        if restart and m and m % restart == 0:
+            body, bits, last = body + pack(bits) + bytes([0xFF, 0xD0 + (m // restart - 1) % 8]), "", [0, 0, 0]
+        for c, terms in mcu:
+            d, last[c] = terms[0] - last[c], terms[0]
+            bits += book[min(c, 1), abs(d).bit_length()] + number(d)
+            run = 0
+            top = max([k for k in range(64) if terms[k]], default=0)
+            for v in terms[1 : top + 1]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + book[16 | min(c, 1), 0xF0], run - 16
+                bits, run = bits + book[16 | min(c, 1), run << 4 | abs(v).bit_length()] + number(v), 0
+            if top < 63:
+                bits += book[16 | min(c, 1), 0]
+    body += pack(bits)
+    seg = lambda m, x: bytes([0xFF, m]) + (len(x) + 2).to_bytes(2, "big") + x
+    dht = b"".join(seg(0xC4, bytes([k]) + a + b) for k, (a, b) in std.items()) if tables else b""
+    sof = bytes([8]) + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([parts]) + b"".join(bytes([i + 1, sampling if i == 0 else 0x11, 0]) for i in range(parts))
+    sos = bytes([parts]) + b"".join(bytes([i + 1, 0x11 if i else 0]) for i in range(parts)) + bytes([0, 63, 0])
+    dri = seg(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes(quant)) + dht + dri + seg(0xC0, sof) + seg(0xDA, sos) + body + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling, restart, tables", [(0x11, 0, True), (0x11, 2, False), (0x22, 0, False), (0x22, 1, True), (0x21, 3, False)])
+def test_jpeg_frames(sampling, restart, tables):
+    """Terms beyond the first, 4:2:0 and 4:2:2 sampling, restart markers and frames without Huffman tables, against the sums
+    of cosines that the standard defines."""
+    rng = np.random.default_rng(sampling + restart)
+    h, v = sampling >> 4, sampling & 15
+    across, down = 3, 2
+    quant = rng.integers(1, 9, 64)
+    zig = [(i, d - i) if d % 2 else (d - i, i) for d in range(15) for i in range(d + 1) if i < 8 and d - i < 8]
+    luma, grid = np.zeros((down * v * 8, across * h * 8)), []
+    u = np.arange(8)
+    wave = np.where(u[:, None] == 0, 1 / np.sqrt(2), 1) * np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16) / 2
+    for m in range(across * down):
+        mcu = []
+        for c in range(3 if sampling != 0x11 else 1):
+            for b in range(h * v if c == 0 else 1):
+                terms = np.where(rng.random(64) < 0.15, rng.integers(-6, 7, 64), 0)
+                terms[0] = rng.integers(-40, 41)
+                terms[63] = 3 if b % 2 else 0
+                mcu.append((c, terms.tolist()))
+                if c == 0:
+                    freq = np.zeros((8, 8))
+                    for (y, x), t, q in zip(zig, terms, quant, strict=True):
+                        freq[y, x] = t * q
+                    y, x = (m // across * v + b // h) * 8, (m % across * h + b % h) * 8
+                    luma[y : y + 8, x : x + 8] = wave.T @ freq @ wave
+        grid.append(mcu)
+    high, wide = down * v * 8 - 3, across * h * 8 - 5
+    got = op8.decode_frame(jpeg(grid, quant.tolist(), high, wide, sampling, restart, tables))
+    assert np.abs(got.astype(int) - np.clip(np.rint(luma + 128), 0, 255)[:high, :wide]).max() <= 1
+
+
+def test_damaged_films(spark):
+    """A cut, an empty and a table-less frame: the frame before is shown, and the clip says how many are bad."""
+    flat = [[(0, [level] + [0] * 63)] * 1 for level in (-60, -60, 50)]
+    frames = [jpeg([f] * 4, [8] * 64, 16, 16) for f in flat]
+    film = op8.write_avi([frames[0], frames[1][:60], b"", frames[2], b"\xff\xd8\xff"], 16, 16)
+    broken = op8.write_avi([b"", b"no frame"], 16, 16)
+    cut = film[: film.index(b"idx1") - 40]
+    df = spark.createDataFrame([(1, bytearray(film)), (2, bytearray(broken)), (3, bytearray(cut)), (4, None)], "doc_id long, film binary")
+    rows = sorted(op8.film_clips(df).collect())
+    assert [(r.doc_id, r.clip, r.frames, r.bad_frames) for r in rows if r.doc_id < 3] == [(1, 0, 3, 2), (1, 1, 2, 1), (2, 0, 2, 2)]
+    assert rows[0].mean_level < rows[1].mean_level and rows[2].mean_level is None and {r.doc_id for r in rows} <= {1, 2, 3}
+
+
+def test_long_frames_decode_in_linear_time():
+    rng = np.random.default_rng(1)
+    terms = lambda: [(0, [int(rng.integers(-40, 41)), *rng.integers(-3, 4, 63).tolist()])]
+    one = terms()
+    took = []
+    for n in (16, 64):
+        raw = jpeg([one] * (n * n), [4] * 64, 8 * n, 8 * n)
+        began = time.perf_counter()
+        op8.decode_frame(raw)
+        took.append((time.perf_counter() - began) / len(raw))
+    assert took[1] < 4 * took[0]
+
+
+
 def test_shots():
     dark, light = np.full(4096, 20, np.uint8), np.full(4096, 220, np.uint8)
     frames = [dark] * 10 + [light] * 15
