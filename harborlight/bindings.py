@@ -45,6 +45,15 @@ FROM {events}
     "applications": """
 SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) AS jobId, o_custkey AS userId, CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'applied' END AS status, {ms:l_shipdate} AS appliedAt
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_returnflag IN ('A', 'R')
+""",
+    "sites": """
+SELECT 's' || CAST(s_suppkey AS STRING) AS siteId, s_name AS name, lower(n_name) || '.example.com' AS domain, s_suppkey % 3 = 0 AS completed, s_suppkey % 4 = 0 AS failed,
+  1705708800000 - s_suppkey % 50 * 3600000 AS lastRunAt, 1705708800000 - s_suppkey % 70 * 1800000 AS lastFailureAt,
+  CASE WHEN s_suppkey % 7 = 0 THEN 1705708800000 + 60000 END AS lockedUntil, CASE WHEN s_suppkey % 5 <> 0 THEN 1705708800000 + (s_suppkey % 9 - 4) * 60000 END AS nextRunAt, s_nationkey AS nationkey
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""",
+    "filters": """
+SELECT 'f' || CAST(o_orderkey AS STRING) AS id, o_custkey AS userId, o_orderpriority AS name, {ms:o_orderdate} AS createdAt, o_orderkey % 8 = 0 AS selected FROM {orders}
 """,
     "postings": """
 SELECT page_id, url, html, page_id % 10 AS source_id FROM {pages}

@@ -21,7 +21,12 @@ DETAIL_MARKERS = [
     "responsibilities", "requirements", "qualifications", "what you'll do", "what you will do", "about the role", "about the position",
     "who you are", "benefits", "compensation", "salary", "equal opportunity",
 ]
-ERROR_PHRASES = ["job posting has expired", "posting has expired", "job has expired", "job is closed", "posting is closed"]
+ERROR_PHRASES = [
+    "page not found", "job not found", "posting not found", "we can't find what you're looking for", "we can\u2019t find what you're looking for",
+    "could not find what you're looking for", "couldn't find what you're looking for", "no longer available", "no longer accepting applications",
+    "no longer taking applications", "position has been filled", "position filled", "job has been filled", "job posting has expired",
+    "posting has expired", "job has expired", "job is closed", "posting is closed",
+]
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 CAPTCHA_MARKERS = ["captcha", "verify you are human", "are you a robot", "checking your browser", "access denied"]
 
