@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from harborlight.plans import board, changes, crawl, ingest, lists, live, work
+from harborlight.plans import board, changes, crawl, ingest, lists, live, reading, work
 
 FLAGSHIP = "company_summaries"
-_ALL = [board.R, crawl.R, ingest.R, work.R, changes.R, live.R, lists.R]
+_ALL = [board.R, crawl.R, ingest.R, work.R, changes.R, live.R, lists.R, reading.R]
 QUERIES = {k: f for r in _ALL for k, f in r.queries.items()}
 ORACLES = {k: s for r in _ALL for k, s in r.oracles.items()}

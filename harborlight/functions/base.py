@@ -51,3 +51,8 @@ def lookup(key: Column, values: dict[str, str]) -> Column:
 def truthy(c: Column | str) -> Column:
     """Null counts as false."""
     return F.coalesce(col(c), F.lit(False))
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also inside functions of arrays, where equal parts are not shared."""
+    return F.get(F.transform(F.array(value), f), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborlight.functions.base import col, contains_any, lower, squeeze, trim
+from harborlight.functions.base import col, contains_any, let, squeeze, trim
 from harborlight.functions.text import clean_scraped, decode_entities, is_unknown_label
 
 # Lines and markers of known page furniture.
@@ -142,38 +142,48 @@ def is_separator(line: Column) -> Column:
 
 def trim_separators(lines: Column) -> Column:
     """Without blank lines and rules at both ends."""
-    solid = F.transform(lines, lambda s: ~is_separator(s))
-    first, last = F.array_position(solid, True), F.array_position(F.reverse(solid), True)
-    size = F.size(lines)
-    return F.when(first > 0, F.slice(lines, first.cast("int"), (size - last - first + 2).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+    def cut(x: Column, solid: Column) -> Column:
+        first, last = F.array_position(solid, True).cast("int"), F.array_position(F.reverse(solid), True).cast("int")
+        return F.when(first > 0, F.slice(x, first, F.size(x) - last - first + 2)).otherwise(F.array().cast("array<string>"))
+
+    return let(lines, lambda x: let(F.transform(x, lambda s: ~is_separator(s)), lambda solid: cut(x, solid)))
 
 
 def is_metadata_block(lines: Column) -> Column:
     """3 to 40 short lines of labels and reference numbers."""
+
+    def told(s: Column) -> Column:
+        label = lambda k: k.isin(METADATA_LABELS) | (k.endswith(" id") & (F.size(F.split(k, " ")) <= 3)) | (k.rlike("^re[fq]") & (F.size(F.split(k, " ")) <= 2))
+        return F.struct(let(section_key(s), label).alias("label"), s.rlike(r"^[A-Za-z]{0,3}\d{3,}$").alias("number"), ((F.length(s) <= 80) & ~s.endswith(".")).alias("short"))
+
+    def judged(rows: Column) -> Column:
+        labels, numbers, short = (F.size(F.filter(rows[k], lambda hit: hit)) for k in ("label", "number", "short"))
+        n = F.size(rows)
+        return ((labels >= 2) & (short >= n * 0.6)) | ((labels >= 1) & (numbers >= 1) & (short >= n * 0.6)) | ((numbers >= 1) & (short >= n * 0.8) & (n >= 4))
+
+    bare = lambda x: F.transform(x, lambda s: F.trim(F.regexp_replace(F.trim(s), r"^[#*\-•]+\s*", "")))
     kept = F.filter(lines, lambda s: ~is_separator(s))
-    bare = F.transform(kept, lambda s: F.trim(F.regexp_replace(F.trim(s), r"^[#*\-•]+\s*", "")))
-    key = section_key
-    words = lambda s: F.size(F.split(key(s), " "))
-    label = lambda s: key(s).isin(METADATA_LABELS) | (key(s).endswith(" id") & (words(s) <= 3)) | (key(s).rlike("^re[fq]") & (words(s) <= 2))
-    count = lambda test: F.size(F.filter(bare, test))
-    n = F.size(kept)
-    labels, numbers = count(label), count(lambda s: s.rlike(r"^[A-Za-z]{0,3}\d{3,}$"))
-    short = count(lambda s: (F.length(s) <= 80) & ~s.endswith(".")) / n
-    return n.between(3, 40) & (((labels >= 2) & (short >= 0.6)) | ((labels >= 1) & (numbers >= 1) & (short >= 0.6)) | ((numbers >= 1) & (short >= 0.8) & (n >= 4)))
+    return let(kept, lambda x: F.when(F.size(x).between(3, 40), let(F.transform(bare(x), told), judged)).otherwise(False))
 
 
 def split_description(c: Column | str) -> Column:
     """struct(description, metadata): the first description heading goes; what stands before it is metadata if it is a
     block of labels, else it stays in front."""
-    t = F.coalesce(col(c), F.lit(""))
-    lines = lines_of(t)
-    at = F.array_position(F.transform(lines, lambda s: section_key(s).isin(DESCRIPTION_HEADINGS)), True).cast("int")
-    before = trim_separators(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
-    after = trim_separators(F.slice(lines, F.greatest(at + 1, F.lit(1)), F.size(lines)))
-    head, body = joined(before), joined(after)
-    apart = (at > 0) & (head != "") & (body != "") & F.coalesce(is_metadata_block(before), F.lit(False))
-    merged = F.concat_ws("\n\n", F.nullif(head, F.lit("")), F.nullif(body, F.lit("")))
-    return F.struct(F.when(at == 0, t).when(apart, body).when(merged == "", t).otherwise(merged).alias("description"), F.when(apart, head).alias("metadata"))
+    heading = lambda lines: F.array_position(F.transform(lines, lambda s: section_key(s).isin(DESCRIPTION_HEADINGS)), True).cast("int")
+
+    def parts(lines: Column, at: Column) -> Column:
+        before = trim_separators(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
+        after = trim_separators(F.slice(lines, F.greatest(at + 1, F.lit(1)), F.size(lines)))
+        return let(before, lambda b: F.struct(at.alias("at"), joined(lines).alias("text"), joined(b).alias("head"), joined(after).alias("body"), is_metadata_block(b).alias("block")))
+
+    def result(p: Column) -> Column:
+        apart = (p["head"] != "") & (p["body"] != "") & p["block"]
+        merged = F.concat_ws("\n\n", F.nullif(p["head"], F.lit("")), F.nullif(p["body"], F.lit("")))
+        description = F.when(p["at"] == 0, p["text"]).when(apart, p["body"]).when(merged == "", p["text"]).otherwise(merged)
+        return F.struct(description.alias("description"), F.when((p["at"] > 0) & apart, p["head"]).alias("metadata"))
+
+    return let(lines_of(c), lambda lines: let(heading(lines), lambda at: let(parts(lines, at), result)))
 
 
 def title_before_bar(c: Column | str) -> Column:
