@@ -178,14 +178,15 @@ def dictionary(spark: SparkSession, cities: list[tuple] = CITIES) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct("city", "state", "country", "remote_only"), "place").alias("at")).select("key", "at.*")
 
 
-def resolve_places(rows: DataFrame, text: str, keys: DataFrame, most_words: int = 4, whole_first: bool = True) -> DataFrame:
+def resolve_places(rows: DataFrame, text: str, keys: DataFrame, most_words: int = 7) -> DataFrame:
     """Adds the place that a text names: the whole text as a key, else its longest phrase that is one, the earliest among equals.
 
-    Phrases of one to most_words words meet the keys by equality, so that no text is compared with every key. rows
-    need a column row_id.
+    Phrases of one to most_words words (the most that a key of the dictionary has) and the whole text meet the keys by
+    equality, so that no text is compared with every key. rows need a column row_id.
     """
     words = rows.select("row_id", F.split(place_key(text), " ").alias("w"))
     grams = [F.expr(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> struct(i as i, array_join(slice(w, i, {n}), ' ') as phrase))") for n in range(1, most_words + 1)]
+    grams.append(F.expr("array(struct(1 as i, array_join(w, ' ') as phrase))"))
     phrases = words.select("row_id", F.size("w").alias("n"), F.explode(F.concat(*grams)).alias("g")).select("row_id", "n", "g.i", "g.phrase").where("phrase <> ''").distinct()
     hit = phrases.join(keys, phrases.phrase == keys.key)
     rank = F.struct(F.length("phrase").alias("l"), (-F.col("i")).alias("i"))

@@ -25,25 +25,29 @@ def stale(now_ms: int, ttl_ms: int = TTL_MS) -> Column:
     return (F.coalesce("createdAt", F.lit(0)) < now_ms - ttl_ms) | (F.coalesce("updatedAt", F.col("createdAt"), F.lit(0)) < now_ms - ttl_ms)
 
 
-def enqueue(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> dict[str, DataFrame]:
-    """Splits requests (url, sourceUrl, delay_ms, pos) into seen, requeued and inserted rows.
+def sorted_requests(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> DataFrame:
+    """Requests (url, sourceUrl, delay_ms, pos), one an address, with their kind: seen, requeued, inserted or kept.
 
     Repeats and ignored addresses go; an address any spelling of which is a job is only recorded as seen; a known
-    queue row is requeued with no attempts when it is stale or terminal; the rest insert as pending.
+    queue row is requeued when it is stale or terminal and kept as it is otherwise; the rest are new.
     """
-    first = requests.withColumn("url", F.trim("url")).where("url <> ''")
-    first = first.withColumn("_n", F.row_number().over(W.partitionBy("url").orderBy("pos"))).where("_n = 1").drop("_n")
+    rest = [c for c in requests.columns if c != "url"]
+    first = requests.withColumn("url", F.trim("url")).where("url <> ''").groupBy("url").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("url", "r.*")
     first = first.join(ignored.select("url").distinct(), "url", "left_anti")
     spelt = first.select("url", F.explode(url.url_candidates("url")).alias("spelling"))
-    known = spelt.join(jobs.select(F.col("url").alias("spelling")).distinct(), "spelling", "left_semi").select("url").distinct()
-    seen = first.join(known, "url", "left_semi")
-    rest = first.join(known, "url", "left_anti")
-    old = queue.select("url", "status", "createdAt", "updatedAt")
-    again = rest.join(old.where(F.col("status").isin(TERMINAL) | stale(now_ms)).select("url").distinct(), "url", "left_semi")
-    new = rest.join(old.select("url").distinct(), "url", "left_anti")
+    known = spelt.join(jobs.select(F.col("url").alias("spelling")).distinct(), "spelling", "left_semi").select("url", F.lit(True).alias("_seen")).distinct()
+    old = queue.groupBy("url").agg(F.bool_or(F.coalesce(F.col("status").isin(TERMINAL) | stale(now_ms), F.lit(False))).alias("_again"))
+    kind = F.when(F.col("_seen"), "seen").when(F.col("_again"), "requeued").when(F.col("_again").isNull(), "inserted").otherwise("kept")
+    return first.join(known, "url", "left").join(old, "url", "left").withColumn("kind", kind).drop("_seen", "_again")
+
+
+def enqueue(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """The requests of sorted_requests apart: seen ones, and requeued and inserted ones as pending rows without attempts."""
+    tagged = sorted_requests(requests, queue, jobs, ignored, now_ms)
     at = F.lit(now_ms) + F.coalesce("delay_ms", F.lit(0))
+    of = lambda kind: tagged.where(F.col("kind") == kind).drop("kind")
     pending = lambda df: df.select("url", "sourceUrl", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), at.alias("scheduledAt"))
-    return {"seen": seen, "requeued": pending(again), "inserted": pending(new)}
+    return {"seen": of("seen"), "requeued": pending(of("requeued")), "inserted": pending(of("inserted"))}
 
 
 def release_expired(queue: DataFrame, now_ms: int, expiry_ms: int) -> DataFrame:

@@ -69,9 +69,8 @@ UNION ALL SELECT url, 'requeued' FROM kept WHERE url IN (SELECT url FROM again)
 def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = shape(spark, sf_dir, "queue")
     requests = q.where("event_id % 2 = 0").select("url", "sourceUrl", F.lit(0).alias("delay_ms"), F.col("event_id").alias("pos"))
-    out = queue.enqueue(requests, q.where("event_id % 3 = 0"), q.where("event_id % 14 = 6"), q.where("event_id % 10 = 4"), NOW_MS)
-    tagged = [df.select("url", F.lit(k).alias("kind")) for k, df in out.items()]
-    return tagged[0].union(tagged[1]).union(tagged[2])
+    out = queue.sorted_requests(requests, q.where("event_id % 3 = 0"), q.where("event_id % 14 = 6"), q.where("event_id % 10 = 4"), NOW_MS)
+    return out.where("kind <> 'kept'").select("url", "kind")
 
 
 @R.add("queue_purge", oracle(f"SELECT url FROM queue WHERE NOT (status IN ('pending', 'processing') AND createdAt < {NOW_MS} - {_WEEK})", "queue"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harborlight.functions import location
 from harborlight.operators import filters, merge, queue, rollups
 from harborlight.streaming import flows
 
@@ -92,3 +93,21 @@ def test_windowed_counts(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "in"))
     got = flows.run_once(flows.windowed_counts(stream, ["k"], "1 minute", "5 minutes"), "win", mode="complete").collect()
     assert [(r.k, r.n) for r in got] == [("a", 2)]
+
+
+def test_places_of_long_keys(spark):
+    """Keys of more than four words, and whole texts, are found."""
+    keys = location.dictionary(spark, [("San Francisco Bay Area", "California", "United States", [], False), ("Bay", "Texas", "United States", [], False)])
+    rows = spark.createDataFrame([(1, "Office: San Francisco Bay Area United States, now"), (2, "the bay"), (3, "San Francisco Bay Area California"), (4, "")], "row_id int, place_text string")
+    got = {r.row_id: r.place and (r.place.city, r.place.phrase) for r in location.resolve_places(rows, "place_text", keys).collect()}
+    assert got == {1: ("San Francisco Bay Area", "san francisco bay area united states"), 2: ("Bay", "bay"), 3: ("San Francisco Bay Area", "san francisco bay area california"), 4: None}
+
+
+def test_requests_are_sorted_once(spark):
+    now = 10 * 86_400_000
+    req = spark.createDataFrame([(" https://a.com/1 ", "s", None, 2), ("https://a.com/1", "t", 5, 1), ("https://a.com/2", "s", 0, 3), ("https://a.com/3", "s", 0, 4), ("https://a.com/4", "s", 0, 5), ("https://a.com/5", "s", 0, 6), ("", "s", 0, 7)], "url string, sourceUrl string, delay_ms long, pos long")
+    stored = spark.createDataFrame([("https://a.com/2", "completed", now, now), ("https://a.com/3", "pending", now, now)], "url string, status string, createdAt long, updatedAt long")
+    out = queue.enqueue(req, stored, spark.createDataFrame([("https://a.com/4",)], "url string"), spark.createDataFrame([("https://a.com/5",)], "url string"), now)
+    assert {k: sorted(r.url[-1] for r in df.collect()) for k, df in out.items()} == {"seen": ["4"], "requeued": ["2"], "inserted": ["1"]}
+    row = out["inserted"].first()
+    assert (row.sourceUrl, row.scheduledAt, row.attempts, row.status) == ("t", now + 5, 0, "pending")
