@@ -112,3 +112,10 @@ def conversation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
     key = extract.form_key("text")
     return c.select("conv_id", "turn", F.when(key.isin("email", "phone"), key).alias("key"))
+
+
+@R.add("conversation_labels", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'email') OR contains(lower(text), 'e-mail') THEN 'email' WHEN regexp_matches(lower(text), 'phone|mobile') THEN 'phone' END AS key FROM conversations")
+def conversation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to form fields, every turn of every conversation."""
+    key = extract.form_key("text")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.when(key.isin("email", "phone"), key).alias("key"))
