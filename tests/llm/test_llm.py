@@ -749,3 +749,18 @@ def test_pipeline(spark, docs):
     placed = pipeline.run(spark, DIR)
     assert {r.doc_id for r in placed.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
     check_bins(placed.collect(), op7.CAPACITY)
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_stages_take_odd_documents(spark, odd, none, place):
+    """Every stage takes nulls, empty and very long texts, repeated rows and clashing columns, and empty tables; all but
+    the last return the columns that they got."""
+    import corpus_pipeline as pipeline
+
+    name, stage = pipeline.STAGES[place]
+    out = stage(spark, odd, DIR)
+    if name != "packing":
+        assert out.columns == odd.columns and out.count() <= odd.count()
+    else:
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in odd.select("doc_id").collect()}
+    assert stage(spark, none, DIR).count() == 0
