@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.functions.base import any_of, col, contains_any, lookup, lower, squeeze, trim
+from harborlight.functions.base import any_of, col, contains_any, let, lookup, lower, squeeze, trim
 
 # States by abbreviation, country spellings, Canadian provinces, words for a missing place.
 STATES = {
@@ -93,22 +93,27 @@ def country_of(c: Column | str) -> Column:
 
 def label(city: Column, state: Column, country: Column) -> Column:
     """Remote, else "City, State", "City, Country", city, state, country, Unknown."""
-    c, s, n = (trim(F.coalesce(x, F.lit(""))) for x in (city, state, country))
     known = lambda x: (x != "") & (x != "Unknown")
-    return (
-        F.when((F.lower(c) == "remote") | (F.lower(s) == "remote"), "Remote")
-        .when(known(c) & known(s), F.concat(c, F.lit(", "), s))
-        .when((c != "") & known(n), F.concat(c, F.lit(", "), n))
-        .when(known(c), c)
-        .when(known(s), s)
-        .when(known(n), n)
-        .otherwise("Unknown")
-    )
+
+    def ladder(at: Column) -> Column:
+        c, s, n = at["c"], at["s"], at["n"]
+        return (
+            F.when((F.lower(c) == "remote") | (F.lower(s) == "remote"), "Remote")
+            .when(known(c) & known(s), F.concat(c, F.lit(", "), s))
+            .when((c != "") & known(n), F.concat(c, F.lit(", "), n))
+            .when(known(c), c)
+            .when(known(s), s)
+            .when(known(n), n)
+            .otherwise("Unknown")
+        )
+
+    return let(F.struct(*(trim(F.coalesce(x, F.lit(""))).alias(k) for k, x in (("c", city), ("s", state), ("n", country)))), ladder)
 
 
 def short_label(city: Column, state: Column, country: Column) -> Column:
-    """The ingest layer's label, with the abbreviation for a state of the US."""
-    return F.regexp_replace(label(city, F.coalesce(state_code(state), state), country), "^, ", "")
+    """The ingest layer's label, with the abbreviation for a state unless another country than the US is given."""
+    us = lower(trim(F.coalesce(country, F.lit("")))).isin("united states", "usa", "us", "united states of america", *UNKNOWN_PLACES)
+    return label(city, F.when(us, F.coalesce(state_code(state), state)).otherwise(state), country)
 
 
 def split_places(c: Column | str) -> Column:
@@ -117,25 +122,41 @@ def split_places(c: Column | str) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: (F.length(p) >= 2) & (F.length(p) <= 100)))
 
 
-def us_first(places: Column) -> Column:
+def read_places(places: Column) -> Column:
+    """Each place as struct(place, country, state), read once for all that derives from it."""
+    return F.transform(places, lambda p: F.struct(p.alias("place"), country_of(p).alias("country"), state_name(F.try_element_at(F.split(p, ","), F.lit(2))).alias("state")))
+
+
+def place_names(read: Column) -> Column:
+    return F.transform(read, lambda r: r["place"])
+
+
+def us_first_read(read: Column) -> Column:
     """Moves the first US place that is not remote to the front, else the first remote one."""
-    us = F.filter(places, lambda p: (country_of(p) == "United States") & ~F.lower(p).contains("remote") & ~is_unknown_place(p))
-    remote = F.filter(places, lambda p: F.lower(p).contains("remote"))
+    us = F.filter(read, lambda r: (r["country"] == "United States") & ~F.lower(r["place"]).contains("remote") & ~is_unknown_place(r["place"]))
+    remote = F.filter(read, lambda r: F.lower(r["place"]).contains("remote"))
     head = F.coalesce(F.try_element_at(us, F.lit(1)), F.try_element_at(remote, F.lit(1)))
-    return F.when(head.isNull(), places).otherwise(F.concat(F.array(head), F.filter(places, lambda p: p != head)))
+    return F.when(head.isNull(), read).otherwise(F.concat(F.array(head), F.filter(read, lambda r: r["place"] != head["place"])))
+
+
+def us_first(places: Column) -> Column:
+    return place_names(let(read_places(places), us_first_read))
+
+
+def distinct_known(values: Column) -> Column:
+    return F.array_distinct(F.filter(values, lambda s: s.isNotNull()))
 
 
 def states_of(places: Column) -> Column:
-    found = F.transform(places, lambda p: state_name(F.try_element_at(F.split(p, ","), F.lit(2))))
-    return F.array_distinct(F.filter(found, lambda s: s.isNotNull()))
+    return distinct_known(F.transform(read_places(places), lambda r: r["state"]))
 
 
 def countries_of(places: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(places, country_of), lambda s: s.isNotNull()))
+    return distinct_known(F.transform(places, country_of))
 
 
-def search_tokens(places: Column) -> Column:
-    tokens = F.flatten(F.transform(places, lambda p: F.split(F.concat_ws(" ", p, country_of(p)), r"[\s,]+")))
+def search_tokens_read(read: Column) -> Column:
+    tokens = F.flatten(F.transform(read, lambda r: F.split(F.concat_ws(" ", r["place"], r["country"]), r"[\s,]+")))
     return F.array_join(F.array_distinct(F.filter(tokens, lambda t: t != "")), " ")
 
 

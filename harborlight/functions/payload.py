@@ -58,8 +58,9 @@ def pay_range(v: Column) -> Column:
 
 def string_leaves(c: Column | str) -> Column:
     """All string values of a JSON text, in order of appearance; keys are not values."""
-    hit = F.regexp_extract_all(col(c), F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1))
-    return F.transform(hit, lambda s: F.regexp_replace(F.regexp_replace(s, r"\\/", "/"), r'\\"', '"'))
+    hit = F.regexp_extract_all(col(c), F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?)'), F.lit(1))
+    values = F.filter(hit, lambda s: s.endswith('"'))
+    return F.transform(values, lambda s: F.regexp_replace(F.regexp_replace(s.substr(F.lit(2), F.length(s) - 2), r"\\/", "/"), r'\\"', '"'))
 
 
 def links_in(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborlight.functions.base import any_of, col, contains_any, lower, squeeze, trim
+from harborlight.functions.base import any_of, col, contains_any, let, lower, squeeze, trim
 
 # Labels that stand for a missing value, and titles that stand for none.
 UNKNOWN_LABELS = ["", "unknown", "n/a", "na", "unspecified", "not available"]
@@ -187,9 +187,14 @@ def has_required_keyword(title: Column | str, keywords: list[str], allow_missing
 
 
 def distinct_in_order(c: Column) -> Column:
-    """Trimmed, case-blind distinct values in order, without blanks and "unknown"."""
+    """Trimmed, case-blind distinct values in order, without blanks and "unknown".
+
+    Sorted by spelling to meet their repeats and back by place, so that long lists cost no pairs.
+    """
     clean = F.filter(F.transform(c, lambda x: trim(F.coalesce(x, F.lit("")))), lambda x: (x != "") & (F.lower(x) != "unknown"))
-    return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1)
+    keyed = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = let(keyed, lambda s: F.filter(s, lambda e, i: (i == 0) | (e["k"] != F.get(s, i - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def mask_secret(c: Column | str) -> Column:

@@ -44,11 +44,16 @@ def extract_jobs(scrapes: DataFrame, now_ms: int, column: str = "payload") -> Da
 
 
 def with_places(jobs: DataFrame) -> DataFrame:
-    """Adds the derived place columns of a job: places, states, countries, country, search tokens."""
-    p = location.us_first(location.split_places("location"))
-    out = jobs.withColumn("locations", p).withColumn("locationStates", location.states_of(F.col("locations"))).withColumn("countries", location.countries_of(F.col("locations")))
-    out = out.withColumn("locationSearch", location.search_tokens(F.col("locations")))
-    return out.withColumn("country", location.job_country(F.lit(None).cast("string"), F.col("countries"), F.col("locationStates")))
+    """Adds the derived place columns of a job: places, states, countries, country, search tokens.
+
+    Every place is read once, behind a generator of one row, so that what derives from it holds no copies of the reading.
+    """
+    step = lambda df, c: df.withColumn("_p", F.explode(F.array(c)))
+    out = step(step(jobs, location.read_places(location.split_places("location"))), location.us_first_read(F.col("_p")))
+    p = F.col("_p")
+    out = out.withColumn("locations", location.place_names(p)).withColumn("locationStates", location.distinct_known(F.transform(p, lambda r: r["state"])))
+    out = out.withColumn("countries", location.distinct_known(F.transform(p, lambda r: r["country"]))).withColumn("locationSearch", location.search_tokens_read(p))
+    return out.withColumn("country", location.job_country(F.lit(None).cast("string"), F.col("countries"), F.col("locationStates"))).drop("_p")
 
 
 def heading_title(c: Column | str) -> Column:

@@ -14,8 +14,13 @@ from harborlight.streaming import flows
 R = Registry()
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; a local session without one gets its own, a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -23,20 +28,20 @@ def _place(spark: SparkSession, name: str) -> str:
 def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of one user, type and day count once, whatever order they come in."""
     events = flows.event_stream(spark, sf_dir).withColumn("day", F.unix_date(F.to_date("ts")))
-    place = _place(spark, "first-events")
-    kept = flows.to_files(flows.first_events(events, ["user_id", "event_type", "day"], "40 days").select("user_id", "event_type", "day"), f"{place}/out", f"{place}/state")
+    at = place(spark, "first-events")
+    kept = flows.to_files(flows.first_events(events, ["user_id", "event_type", "day"], "40 days").select("user_id", "event_type", "day"), f"{at}/out", f"{at}/state")
     return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @R.add("stream_upserts", "SELECT user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
 def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-batches as idempotent partial rows, a folder a batch; the totals merge them."""
-    place = _place(spark, "upserts")
+    at = place(spark, "upserts")
 
     def apply(batch: DataFrame, number: int) -> None:
         last = F.max(F.struct("ts", "event_id", "event_type"))
-        batch.groupBy("user_id").agg(F.count("*").alias("n"), last.alias("last")).write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        batch.groupBy("user_id").agg(F.count("*").alias("n"), last.alias("last")).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    flows.per_batch(flows.event_stream(spark, sf_dir), apply, f"{place}/state")
-    rows = spark.read.parquet(f"{place}/rows")
+    flows.per_batch(flows.event_stream(spark, sf_dir), apply, f"{at}/state")
+    rows = spark.read.parquet(f"{at}/rows")
     return rows.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("user_id", "n", F.col("last.event_type").alias("last_type"))

@@ -124,3 +124,21 @@ def test_job_posting(spark):
 def test_listing_page(spark):
     assert value(spark, text.is_listing_page(F.lit("Jobs"), F.lit("Open positions. Search for opportunities. Select department")))
     assert not value(spark, text.is_listing_page(F.lit("Engineer"), F.lit("Responsibilities: build things")))
+
+
+def test_string_leaves_skip_keys_and_gaps(spark):
+    body = F.lit('{"a": "x", "b": {"c": ["y", 1, "z\\"w"]}, "d": "https:\\/\\/e.com"}')
+    assert value(spark, payload.string_leaves(body)) == ["x", "y", 'z"w', "https://e.com"]
+    assert value(spark, payload.string_leaves(F.lit("{}"))) == []
+
+
+def test_distinct_in_order_of_long_lists(spark):
+    words = [f"w{i % 5000}" for i in range(20_000)]
+    got = value(spark, text.distinct_in_order(F.split(F.lit(" ".join(["B", "unknown", "b", "A", *words])), " ")))
+    assert got == ["B", "A", *words[:5000]]
+    assert value(spark, text.distinct_in_order(F.array(F.lit(None).cast("string"), F.lit(" ")))) == []
+
+
+def test_short_label_of_other_countries(spark):
+    assert value(spark, location.short_label(F.lit("Perth"), F.lit("Washington"), F.lit("Australia"))) == "Perth, Washington"
+    assert value(spark, location.short_label(F.lit("Seattle"), F.lit("Washington"), F.lit("USA"))) == "Seattle, WA"
