@@ -235,7 +235,7 @@ def word_table(path: str, pattern: str) -> WordTable:
     return _TABLES[path, pattern]
 
 
-def slices(column: pa.Array, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Runs of rows of about so many bytes of text."""
     for lo, hi, _, _ in blocks(column, size):
         yield lo, hi
