@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborlight.functions.base import col, contains_any, let, squeeze, trim
+from harborlight.functions.jsonscan import without_objects
 from harborlight.functions.text import clean_scraped, decode_entities, is_unknown_label
 
 # Lines and markers of known page furniture.
@@ -97,15 +98,11 @@ def cut_json_lines(c: Column | str) -> Column:
 
 
 def cut_theme_objects(c: Column | str) -> Column:
-    """JSON objects that hold a theme setting, nested up to four deep, wherever they stand; the white space left is squeezed."""
+    """JSON objects that hold a theme setting go, from their outermost brace and at any depth; the white space left is squeezed. An unclosed object stays."""
     t = F.coalesce(col(c), F.lit(""))
-    nested = r"\{[^{}]*+\}"
-    for _ in range(3):
-        nested = rf"\{{(?:[^{{}}]++|{nested})*+\}}"
-    themed = F.filter(F.regexp_extract_all(t, F.lit(f"({nested})"), 1), lambda o: contains_any(o, THEME_MARKERS))
-    out = F.aggregate(themed, t, lambda a, o: F.replace(a, o, F.lit(" ")))
+    out = without_objects(F.when(contains_any(t, THEME_MARKERS), t), THEME_MARKERS)
     tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
-    return F.trim(F.when(F.size(themed) > 0, tidy).otherwise(t))
+    return F.trim(F.coalesce(tidy, t))
 
 
 def cut_tail(c: Column | str) -> Column:

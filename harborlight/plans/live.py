@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborlight.operators.scratch import place
 from harborlight.plans.registry import Registry
 from harborlight.streaming import flows
 
 R = Registry()
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; a local session without one gets its own, a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add("stream_first_events", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, epoch_us(ts) // 86400000000 AS day FROM events) GROUP BY ALL")
 def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of one user, type and day count once, whatever order they come in."""
