@@ -213,3 +213,17 @@ def test_whitening_query(spark):
     df = op12.op12_chebyshev_whitening(spark, "/root/testdata/sf0.001")
     r = df.agg(F.count("*").alias("n"), F.max("component").alias("k"), F.max("identity_error").alias("e"), F.avg(F.col("whitened") ** 2).alias("v")).first()
     assert r.n == 500 * 32 and r.k == 32 and r.e < 1e-9 and abs(r.v - 1) < 1e-9
+
+
+def test_url_rules_beyond_an_expression_and_odd_pages(spark, monkeypatch):
+    """A rule table gives what the expression gives; very long addresses, clashing columns, equal lengths on different hosts."""
+    from harborlight.llm import op05_url_filters as op5
+
+    rules = [*op5.RULES, ("block", "example.com", "/en/8"), ("allow", "b.org", "/x"), ("block", "a.b.org", ""), ("allow", "org", "/xyz/")]
+    urls = ["https://www.Example.com/en/71", "http://example.com/en/8", "https://a.b.org/x", "https://q.a.b.org/xyz/1", "https://net/de/" + "a" * 20000, "x://", None, "no scheme", "https://b.org", "http://example.net/de/8?q", "https://example.com/en/71"]
+    pages = spark.createDataFrame([(i, u, None, "h", "p", "r", "v", "a") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, path string, rule string, verdict string, fit string")
+    plain = sorted(map(tuple, op5.judge(pages, rules).collect()), key=repr)
+    monkeypatch.setattr(op5, "MOST_RULES", 3)
+    assert sorted(map(tuple, op5.judge(pages, rules).collect()), key=repr) == plain
+    by = {r[0]: r for r in plain}
+    assert by[0][3:5] == ("example.com/en/7", "allow") and by[2][3:5] == ("b.org/x", "allow") and by[3][3:5] == ("org/xyz/", "allow") and by[6][1:5] == ("", "", None, "allow")
