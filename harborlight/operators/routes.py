@@ -71,7 +71,7 @@ def company_of_address(c: Column | str, hosted: Column) -> Column:
 def listing_pages(rows: DataFrame, address: str, total: str) -> DataFrame:
     """One row for each further page (next) of listings with a `fit` of SITE_SCHEMA: pages by number, or by offset, after the one the address names."""
     fit = F.col("fit")
-    given = F.regexp_extract(address, F.concat(F.lit("(?i)[?&]"), fit["param"], F.lit(r"=(\d+)")), 1)
+    given = F.call_function("regexp_extract", F.col(address), F.concat(F.lit("(?i)[?&]"), fit["param"], F.lit(r"=(\d+)")), F.lit(1))
     now = F.coalesce(F.nullif(given, F.lit("")).try_cast("int"), fit["first"])
     paged = fit["kind"] == "page"
     step = F.when(paged, 1).otherwise(fit["size"])
