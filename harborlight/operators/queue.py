@@ -25,6 +25,11 @@ def stale(now_ms: int, ttl_ms: int = TTL_MS) -> Column:
     return (F.coalesce("createdAt", F.lit(0)) < now_ms - ttl_ms) | (F.coalesce("updatedAt", F.col("createdAt"), F.lit(0)) < now_ms - ttl_ms)
 
 
+def outlived(now_ms: int) -> Column:
+    """Past the time to live; a row without a time of creation has no age."""
+    return F.coalesce(F.col("createdAt") < now_ms - TTL_MS, F.lit(False))
+
+
 def sorted_requests(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> DataFrame:
     """Requests (url, sourceUrl, delay_ms, pos), one an address, with their kind: seen, requeued, inserted or kept.
 
@@ -70,8 +75,8 @@ def lease(queue: DataFrame, now_ms: int, limit: int, expiry_ms: int = 20 * MINUT
     freed = release_expired(queue, now_ms, expiry_ms)
     order = ["attempts", "scheduledAt", "createdAt", "url"]
     ready = freed.where(due(now_ms)).withColumn("bucket", F.coalesce("siteId", "sourceUrl", url.domain_key("url"), "url"))
-    expired = ready.where(F.col("createdAt") < now_ms - TTL_MS)
-    live = ready.where(~(F.col("createdAt") < now_ms - TTL_MS)).orderBy(*order).limit(3 * limit)
+    expired = ready.where(outlived(now_ms))
+    live = ready.where(~outlived(now_ms)).orderBy(*order).limit(3 * limit)
     taken = round_robin(live, "bucket", order, limit)
     taken = taken.withColumn("status", F.lit("processing")).withColumn("attempts", F.col("attempts") + 1).withColumn("updatedAt", F.lit(now_ms))
     return {"leased": taken, "expired": expired.withColumn("status", F.lit("failed"))}
@@ -91,7 +96,7 @@ def complete(queue: DataFrame, results: DataFrame, now_ms: int) -> dict[str, Dat
 
 def purge(queue: DataFrame, now_ms: int) -> DataFrame:
     """Pending and processing rows older than the time to live go."""
-    return queue.where(~(F.col("status").isin("pending", "processing") & (F.col("createdAt") < now_ms - TTL_MS)))
+    return queue.where(~(F.coalesce(F.col("status").isin("pending", "processing"), F.lit(False)) & outlived(now_ms)))
 
 
 def stagger(rows: DataFrame, is_listing: Column, order: list[Column], step_ms: int = 30_000) -> DataFrame:

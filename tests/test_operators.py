@@ -111,3 +111,17 @@ def test_requests_are_sorted_once(spark):
     assert {k: sorted(r.url[-1] for r in df.collect()) for k, df in out.items()} == {"seen": ["4"], "requeued": ["2"], "inserted": ["1"]}
     row = out["inserted"].first()
     assert (row.sourceUrl, row.scheduledAt, row.attempts, row.status) == ("t", now + 5, 0, "pending")
+
+
+def test_queue_rows_without_a_time(spark):
+    """A row that doesn't say when it was created has no age: it is leased, not expired, and not purged."""
+    from harborlight.operators import queue
+
+    now = 10 * queue.TTL_MS
+    schema = "url string, sourceUrl string, siteId string, status string, attempts int, createdAt long, updatedAt long, scheduledAt long"
+    rows = [("u1", "s", "x", "pending", 0, None, None, None), ("u2", "s", "x", "pending", 0, now, now, None), ("u3", "s", "x", "pending", 0, 1, now, None), ("u4", "s", "x", None, 0, 1, None, None), ("u5", "s", "x", "processing", 1, None, None, None), ("u6", "s", "x", "completed", 1, 1, 1, 1)]
+    q = spark.createDataFrame(rows, schema)
+    out = queue.lease(q, now, 10)
+    assert sorted(r.url for r in out["leased"].collect()) == ["u1", "u2", "u5"]  # u5's lease has no time either, and is past
+    assert [r.url for r in out["expired"].collect()] == ["u3"]
+    assert sorted(r.url for r in queue.purge(q, now).collect()) == ["u1", "u2", "u4", "u5", "u6"]
