@@ -17,12 +17,16 @@ empty batch commits and changes nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import delete_path, fresh_path, path_exists, table
+from harborlight.llm.common import delete_path, fresh_path, path_exists, table, text_batches
+from harborlight.llm.op02_byte_bpe import WordTable, slices, word_table
+from harborlight.llm.op03_token_files import library_table
 
 KEYS = ["source", "lang", "tokenizer"]
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -64,10 +68,14 @@ class TokenRollup:
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commits signed changes (source, lang, tokenizer, sign, n_tokens); False if the batch was committed before."""
+        return self.apply_sums(batch, changes.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens")))
+
+    def apply_sums(self, batch: str, sums: DataFrame) -> bool:
+        """The same for changes that say by themselves how many documents and tokens they add (source, lang, tokenizer, n_docs, n_tokens)."""
         done, fold = self._done()
         if f"batch-{batch}" in done or self._folded(fold, [batch]):
             return False
-        sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
+        sums = sums.groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
 
@@ -95,11 +103,12 @@ class TokenRollup:
 
 
 def insert(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sign", F.lit(1))
+    """Rows (source, lang, tokenizer, n_tokens) in, once each, or as often as a column copies says."""
+    return rows.withColumn("sign", F.col("copies") if "copies" in rows.columns else F.lit(1))
 
 
 def delete(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sign", F.lit(-1))
+    return rows.withColumn("sign", -F.col("copies") if "copies" in rows.columns else F.lit(-1))
 
 
 def revise(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -123,23 +132,70 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     counted = docs.select("doc_id", "source", "lang", key.alias("key"), words_v1(F.col("text")).alias("v1"), words_v2(F.col("text")).alias("v2"))
+    return deduplicated_totals(counted)
+
+
+def deduplicated_totals(counted: DataFrame) -> DataFrame:
+    """The deliveries of op1_token_counts over rows (doc_id, source, lang, key, v1, v2): one row a text stays, that of the least doc_id
+    (null ids last), of equal ids the least source and language, and of equal rows one.
+
+    A text's copies are summed by source and language in the map tasks, so that a text that holds a third of all rows meets as a few.
+    """
+    spark = counted.sparkSession
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")).alias("lead")
+    alike = counted.groupBy("key", "source", "lang").agg(F.count("*").alias("n"), lead, F.min("v1").alias("v1"), F.min("v2").alias("v2"))
     path = fresh_path(spark, "counted")
-    counted.write.parquet(path)
-    counted = spark.read.schema(counted.schema).parquet(path)
-    first = counted.groupBy("key").agg(F.min("doc_id").alias("first"))
-    marked = counted.join(first, "key").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first")))
-    version = lambda df, v: df.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(v).alias("n_tokens"))
+    alike.write.parquet(path)
+    alike = spark.read.schema(alike.schema).parquet(path)
+    place = F.struct("lead", "source", "lang")
+    first = alike.groupBy("key").agg(F.min(place).alias("first"))
+    marked = alike.join(first, "key").withColumn("stays", place.eqNullSafe(F.col("first")).cast("long"))
+    version = lambda v, copies: marked.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(v).alias("n_tokens"), copies.alias("copies")).where("copies > 0")
     rollup = TokenRollup(spark, fresh_path(spark, "rollup"))
-    gone = marked.where(~F.col("stays"))
-    staying = marked.where("stays")
-    rollup.apply("1-load", insert(version(counted, "v1")))
-    rollup.apply("2-repeats", delete(version(gone, "v1")))
-    rollup.apply("3-version", revise(version(staying, "v1"), version(staying, "v2")))
-    rollup.apply("2-repeats", delete(version(gone, "v1")))
+    staying = F.col("stays")
+    gone = version("v1", F.col("n") - staying)
+    rollup.apply("1-load", insert(version("v1", F.col("n"))))
+    rollup.apply("2-repeats", delete(gone))
+    rollup.apply("3-version", revise(version("v1", staying), version("v2", staying)))
+    rollup.apply("2-repeats", delete(gone))
     rollup.compact()
     return rollup.totals()
 
 
+def token_counts_by_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents under two published byte-level vocabularies, kept side by side: each is a delivery of its own; then the documents
+    without a language are revised to the language "und" under both, and that delivery comes twice."""
+    import public_tokenizers
+
+    multi, plain, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    rollup = TokenRollup(spark, fresh_path(spark, "rollup"))
+    loads = {"byte_bpe_multi_50k": lambda: word_table(multi, pattern), "byte_bpe_50k": lambda: library_table(plain)}
+    for name, encoder in loads.items():
+        rollup.apply_sums(f"load-{name}", token_totals(docs, encoder).withColumn("tokenizer", F.lit(name)))
+    bare = rollup.totals().where("lang is null")
+    move = bare.select(*KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")).unionByName(bare.withColumn("lang", F.lit("und")))
+    rollup.apply_sums("languages", move)
+    rollup.apply_sums("languages", move)
+    return rollup.totals()
+
+
+def token_totals(docs: DataFrame, encoder: Callable[[], WordTable]) -> DataFrame:
+    """(source, lang, n_docs, n_tokens) by an encoder that each task makes for itself: whole texts are encoded, counts summed in the map tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder()
+        for b in batches:
+            texts = b.column("text").fill_null("")
+            for lo, hi in slices(texts):
+                count = words.encode(texts.slice(lo, hi - lo))[1]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("source", "lang")), pa.array(count)], names=["source", "lang", "n"])
+
+    text_batches(docs.sparkSession)
+    rows = docs.select("source", "lang", "text").mapInArrow(run, "source string, lang string, n long")
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
 _ORACLE = r"""
 WITH d AS (
   SELECT source, lang, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS r,
@@ -149,7 +205,7 @@ WITH d AS (
 SELECT source, lang, 'v2' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM d WHERE r = 1 GROUP BY source, lang
 """
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+QUERIES = {"op1_token_counts": op1_token_counts, "token_counts_by_tokenizer": token_counts_by_tokenizer}
 ORACLES = {"op1_token_counts": _ORACLE}
 
 

@@ -130,7 +130,8 @@ def chunks(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def read_avi(raw: bytes) -> dict | None:
-    """width, height, seconds a frame, note, and the (first byte, end) of each video frame; None if it is no film."""
+    """width, height, seconds a frame, note, and the (first byte, end) of each video frame; None if it is no film. A header that is cut off
+    leaves size and rate as they stand without one; index entries that are cut off or point outside the file are left out."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"AVI ":
         return None
     out: dict = {"width": 0, "height": 0, "period": 1 / RATE, "note": b"", "frames": []}
@@ -138,8 +139,8 @@ def read_avi(raw: bytes) -> dict | None:
     for tag, lo, hi in chunks(raw, 12, len(raw)):
         kind = raw[lo : lo + 4] if tag == b"LIST" else b""
         if kind == b"hdrl":
-            for t, a, _ in chunks(raw, lo + 4, hi):
-                if t == b"avih":
+            for t, a, end in chunks(raw, lo + 4, hi):
+                if t == b"avih" and a + 40 <= end:
                     v = struct.unpack_from("<10I", raw, a)
                     out |= {"period": v[0] / 1e6 or 1 / RATE, "width": v[8], "height": v[9]}
         elif kind == b"INFO":
@@ -270,6 +271,8 @@ def decode_frame(raw: bytes) -> np.ndarray:
     if single:
         comps[0]["h"] = comps[0]["v"] = top_h = top_v = 1
     across, down = -(-wide // (8 * top_h)), -(-high // (8 * top_v))
+    if across * down * sum(c["h"] * c["v"] for c in comps) > 4 * (len(raw) - at):  # a block has a bit for each of two codes at least
+        raise ValueError("the frame is larger than its scan")
     luma = np.zeros((down * comps[0]["v"], across * comps[0]["h"], 64), np.int64)
     end = len(raw)
     data = raw[at : raw.rfind(b"\xff\xd9") if b"\xff\xd9" in raw[at:] else end]
@@ -338,7 +341,7 @@ def sound_levels(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[np.ndar
     for a, b in spans:
         try:
             levels.append(frame_levels(raw[a:b]))
-        except (ValueError, IndexError, KeyError, StopIteration, struct.error):
+        except (ValueError, IndexError, KeyError, StopIteration, OverflowError, struct.error):
             levels.append(None)
     bad = [x is None for x in levels]
     last = next((x for x in levels if x is not None), None)
