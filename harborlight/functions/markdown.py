@@ -122,7 +122,7 @@ def cut_tail(c: Column | str) -> Column:
 
 
 def strip_known_blocks(c: Column | str) -> Column:
-    """The whole chain: tag lines, closing links, JSON, empty links and platform labels."""
+    """Tag lines, closing links, JSON lines, empty links and platform labels, in this order; banners and navigation are not in it."""
     return cut_platform_lines(cut_empty_links(cut_json_lines(cut_tail(cut_tag_lines(c)))))
 
 

@@ -74,10 +74,10 @@ def urls_to_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(pages.where("page_id % 5 = 0").select("url").distinct(), "url", "left_anti").orderBy("page_id")
 
 
-@R.add("seen_urls_union", "SELECT url FROM pages WHERE page_id % 4 = 0 UNION SELECT url FROM pages WHERE starts_with(url, 'https://m.')")
+@R.add("seen_urls_union", "SELECT url FROM pages WHERE starts_with(url, 'http://') UNION SELECT url FROM pages WHERE starts_with(url, 'https://m.')")
 def seen_urls_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return pages.where("page_id % 4 = 0").select("url").union(pages.where(url.matches_pattern("url", "https://m.*")).select("url")).distinct()
+    return pages.where(url.matches_pattern("url", "http://*")).select("url").union(pages.where(url.matches_pattern("url", "https://m.*")).select("url")).distinct()
 
 
 @R.add("first_row_per_url", "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM pages WHERE page_id % 2 = 1) WHERE n = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")

@@ -106,10 +106,10 @@ def listing_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["inserted"].select("url", F.lit("inserted").alias("kind"))
 
 
-@R.add("conversation_forms", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'email') THEN 'email' WHEN regexp_matches(lower(text), 'phone|mobile') THEN 'phone' END AS key FROM conversations WHERE turn = 0")
+@R.add("conversation_forms", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'email') OR contains(lower(text), 'e-mail') THEN 'email' WHEN regexp_matches(lower(text), 'phone|mobile') THEN 'phone' END AS key FROM conversations WHERE role <> 'system'")
 def conversation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels to form fields; the first turn of each conversation is the label here."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    """Labels to form fields, in the turns of users and assistants."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'system'")
     key = extract.form_key("text")
     return c.select("conv_id", "turn", F.when(key.isin("email", "phone"), key).alias("key"))
 

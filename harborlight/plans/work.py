@@ -58,7 +58,7 @@ def queue_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENQUEUE = f"""
-req AS (SELECT * FROM queue WHERE event_id % 2 = 0), store AS (SELECT * FROM queue WHERE event_id % 3 = 0), ign AS (SELECT url FROM queue WHERE event_id % 10 = 4), job AS (SELECT url FROM queue WHERE event_id % 14 = 6),
+req AS (SELECT * FROM queue), store AS (SELECT * FROM queue WHERE event_id % 3 = 0), ign AS (SELECT url FROM queue WHERE event_id % 10 = 4), job AS (SELECT url FROM queue WHERE event_id % 14 = 6),
 kept AS (SELECT * FROM req WHERE url NOT IN (SELECT url FROM ign) AND url NOT IN (SELECT url FROM job)),
 again AS (SELECT url FROM store WHERE status IN ('completed', 'failed', 'invalid') OR createdAt < {NOW_MS} - {_WEEK} OR coalesce(updatedAt, createdAt) < {NOW_MS} - {_WEEK})"""
 
@@ -68,7 +68,7 @@ SELECT url, 'seen' AS kind FROM req WHERE url IN (SELECT url FROM job) AND url N
 UNION ALL SELECT url, 'requeued' FROM kept WHERE url IN (SELECT url FROM again) UNION ALL SELECT url, 'inserted' FROM kept WHERE url NOT IN (SELECT url FROM store)""", "queue", ctes=_ENQUEUE))
 def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = shape(spark, sf_dir, "queue")
-    requests = q.where("event_id % 2 = 0").select("url", "sourceUrl", F.lit(0).alias("delay_ms"), F.col("event_id").alias("pos"))
+    requests = q.select("url", "sourceUrl", F.lit(0).alias("delay_ms"), F.col("event_id").alias("pos"))
     out = queue.sorted_requests(requests, q.where("event_id % 3 = 0"), q.where("event_id % 14 = 6"), q.where("event_id % 10 = 4"), NOW_MS)
     return out.where("kind <> 'kept'").select("url", "kind")
 
