@@ -58,6 +58,21 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: Bytes of texts that are scanned at a time; a longer text is scanned by itself.
+BLOCK = 1 << 20
+
+
+def in_blocks(answer: Callable[[pa.Array], list], column: pa.Array, kind: pa.DataType) -> pa.Array:
+    """answer over runs of rows of about BLOCK bytes, so that a batch of long texts needs no more memory than one run."""
+    _, off = texts(column)
+    out, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, "right")) - 1)
+        out += answer(column.slice(lo, hi - lo))
+        lo = hi
+    return pa.array(out, kind)
+
+
 def _strict(name: str) -> None:
     raise ValueError(name)
 
@@ -90,6 +105,10 @@ def json_values(raw: bytes, found: list[tuple[int, int, int]]) -> Iterator[tuple
 
 
 def _scanned(column: pa.Array, answer: Callable[[Iterator[tuple[str, object]]], object], kind: pa.DataType) -> pa.Array:
+    return in_blocks(lambda part: _scan(part, answer), column, kind)
+
+
+def _scan(column: pa.Array, answer: Callable[[Iterator[tuple[str, object]]], object]) -> list:
     buf, off = texts(column)
     text, start, end, cls = (np.concatenate(x) for x in zip(spans(buf, off, "{}"), spans(buf, off, "[]")))
     order = np.argsort(start, kind="stable")
@@ -100,7 +119,7 @@ def _scanned(column: pa.Array, answer: Callable[[Iterator[tuple[str, object]]],
         lo, hi = cuts[i], cuts[i + 1]
         found = list(zip((start[lo:hi] - off[i]).tolist(), (end[lo:hi] - off[i]).tolist(), cls[lo:hi].tolist()))
         out.append(answer(json_values(buf[off[i] : off[i + 1]].tobytes(), found)) if valid else None)
-    return pa.array(out, kind)
+    return out
 
 
 def _list_of_values(column: pa.Array) -> pa.Array:
@@ -132,7 +151,7 @@ def _first_jobs(column: pa.Array) -> pa.Array:
 
 
 def _without_objects(markers: list[bytes]) -> Callable[[pa.Array], pa.Array]:
-    def cut(column: pa.Array) -> pa.Array:
+    def cut(column: pa.Array) -> list[str | None]:
         buf, off = texts(column)
         text, start, end, _ = spans(buf, off)
         cuts = np.searchsorted(text, np.arange(len(off)))
@@ -147,9 +166,9 @@ def _without_objects(markers: list[bytes]) -> Callable[[pa.Array], pa.Array]:
                     kept += [raw[done:s], b" "]
                     done = e + 1
             out.append((b"".join(kept) + raw[done:]).decode() if valid and kept else None)
-        return pa.array(out, pa.string())
+        return out
 
-    return cut
+    return lambda column: in_blocks(cut, column, pa.string())
 
 
 def _places(raw: bytes, word: bytes) -> Iterator[int]:
