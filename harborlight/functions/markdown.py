@@ -29,6 +29,20 @@ METADATA_LABELS = [
     "employment type", "shift", "job number", "reference", "salary", "compensation", "pay", "rate", "office", "city", "state", "country",
 ]
 BLOB_LENGTH, HUGE_BLOB = 200, 1200
+# A career site's menu in its order, and what tells a cookie notice.
+MENU = [
+    "Welcome", "Culture", "Workplace Benefits", "Candidate Experience", "Diversity, Equity & Inclusion", "Learning & Development",
+    "Pup Culture Blog", "Teams", "Engineering", "General & Administrative", "Marketing", "Product Design", "Product Management", "Sales",
+    "Technical Solutions", "Early Career & Internships", "Locations", "Americas", "Asia Pacific", "EMEA", "Remote", "All Jobs",
+]
+COOKIE_SIGNALS = [
+    "cookie preferences", "cookie policy", "cookie consent", "cookie settings", "your choice regarding cookies", "this website uses cookies",
+    "accept all", "reject all", "save and close", "manage cookies", "essential cookies", "performance cookies", "functional cookies",
+    "advertising cookies", "cookiebot", "onetrust", "trustarc", "optimizely", "google analytics", "microsoft clarity", "tag manager", "gtm",
+]
+COOKIE_CONTROLS = ["accept all", "reject all", "save and close", "cookie preferences", "preferences"]
+#: Bounds of a menu (hits, lines looked at, latest first line, share of its lines) and of a notice (signals, lines between first and last).
+MENU_HITS, MENU_WINDOW, MENU_FIRST, MENU_SHARE, NOTICE_SIGNALS, NOTICE_LINES = 8, 200, 120, 0.6, 2, 240
 
 
 def lines_of(c: Column | str) -> Column:
@@ -71,7 +85,7 @@ def meta_description(html: Column | str) -> Column:
 
 def cut_tag_lines(c: Column | str) -> Column:
     """Lines of tags alone go."""
-    return _without(c, lambda s: s.rlike(r"^\s*<.*>\s*$") & (F.trim(F.regexp_replace(s, r"<[^>]*>", "")) == ""))
+    return _without(c, is_tag_line)
 
 
 def cut_empty_links(c: Column | str) -> Column:
@@ -121,9 +135,83 @@ def cut_tail(c: Column | str) -> Column:
     return F.when((at > 0) & far & (before(first) != ""), before(first)).when((named > 0) & (before(named) != ""), before(named)).otherwise(t)
 
 
+def is_tag_line(s: Column) -> Column:
+    return s.rlike(r"^\s*<.*>\s*$") & (F.trim(F.regexp_replace(s, r"<[^>]*>", "")) == "")
+
+
+def leading(flags: Column) -> Column:
+    """How many of the flags are true before the first that is not."""
+    at = F.array_position(flags, False).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(flags))
+
+
+def _spread(rows: Column, soft_before: str, soft_after: str, first: Column, last: Column) -> Column:
+    """The text without the lines first to last (from 1) and the soft ones that touch them; line breaks at both ends go."""
+    back = leading(F.transform(F.reverse(F.slice(rows, F.lit(1), first - 1)), lambda r: r[soft_before]))
+    on = leading(F.transform(F.slice(rows, last + 1, F.size(rows) - last), lambda r: r[soft_after]))
+    kept = F.concat(F.slice(rows, F.lit(1), first - 1 - back), F.slice(rows, last + on + 1, F.size(rows) - last - on))
+    return F.regexp_replace(joined(F.transform(kept, lambda r: r["line"])), r"^\n+|\n+$", "")
+
+
+def _ends(rows: Column, hit: str) -> Column:
+    flags = F.transform(rows, lambda r: r[hit])
+    last = F.size(rows) - F.array_position(F.reverse(flags), True).cast("int") + 1
+    return F.struct(F.array_position(flags, True).cast("int").alias("first"), last.alias("last"), F.size(F.filter(flags, lambda f: f)).alias("hits"))
+
+
+def cut_notice(c: Column | str) -> Column:
+    """A cookie notice goes from the first line with a signal to the last, with the blank lines, tags and buttons around it: at least two lines
+    hold signals, two name cookies, and at most 240 lines lie between. The text stays, but for line breaks at its ends, if nothing would be left."""
+    t = F.coalesce(col(c), F.lit(""))
+    signal = r"(?i)" + "|".join(w.replace(" ", r"\s+") for w in COOKIE_SIGNALS)
+    control = r"(?i)^\s*(?:" + "|".join(w.replace(" ", r"\s+") for w in COOKIE_CONTROLS) + r")\s*$"
+
+    def told(s: Column) -> Column:
+        empty = s.rlike(r"^\s*$") | is_tag_line(s)
+        return F.struct(s.alias("line"), s.rlike(signal).alias("hit"), s.rlike(r"(?i)\bcookies?\b").alias("named"), empty.alias("before"), (empty | s.rlike(control)).alias("after"))
+
+    def result(rows: Column, e: Column) -> Column:
+        named = F.size(F.filter(rows, lambda r: r["named"]))
+        notice = (e["hits"] >= NOTICE_SIGNALS) & (named >= NOTICE_SIGNALS) & (e["last"] - e["first"] <= NOTICE_LINES)
+        return F.when(notice, F.coalesce(F.nullif(_spread(rows, "before", "after", e["first"], e["last"]), F.lit("")), F.regexp_replace(t, r"^\n+|\n+$", "")))
+
+    # most texts hold no signal: one search tells them before their lines are made
+    found = let(F.transform(lines_of(t), told), lambda rows: let(_ends(rows, "hit"), lambda e: result(rows, e)))
+    return F.coalesce(F.when(t.rlike(signal), found), t)
+
+
+def cut_menu_run(c: Column | str) -> Column:
+    """The menu in its own order, once or twice, written behind each other with any white space, becomes a line break."""
+    # one word after the other must match, so that the search never goes back far
+    run = r"\s+".join(r"\Q" + w + r"\E" for w in MENU)
+    return F.regexp_replace(col(c), rf"(?i){run}(?:\s+###\s*Careers)?(?:\s+{run})?", "\n")
+
+
+def cut_menu(c: Column | str) -> Column:
+    """A menu goes from its first line to its last, with blank lines before, and blank and menu lines after it: at least eight of the first 200
+    lines are its words, the first within 120, and of the lines from first to last that aren't blank at least three fifths."""
+    t = F.coalesce(col(c), F.lit(""))
+
+    def told(s: Column, i: Column) -> Column:
+        hit = trim(F.regexp_replace(trim(s), "^#+", "")).isin([*MENU, "Careers"])
+        blank = s.rlike(r"^\s*$")
+        return F.struct(s.alias("line"), (hit & (i < MENU_WINDOW)).alias("hit"), blank.alias("blank"), (hit | blank).alias("after"))
+
+    def result(rows: Column, e: Column) -> Column:
+        solid = F.size(F.filter(F.slice(rows, e["first"], e["last"] - e["first"] + 1), lambda r: ~r["blank"]))
+        menu = (e["first"] <= MENU_FIRST + 1) & (e["hits"] >= F.greatest(F.lit(MENU_HITS), F.floor(solid * MENU_SHARE)))
+        return F.when(menu, F.coalesce(F.nullif(_spread(rows, "blank", "after", e["first"], e["last"]), F.lit("")), F.regexp_replace(t, r"^\n+|\n+$", "")))
+
+    found = let(F.transform(lines_of(t), told), lambda rows: let(_ends(rows, "hit"), lambda e: F.when(e["hits"] >= MENU_HITS, result(rows, e))))
+    return F.coalesce(F.when(t.rlike("Careers|" + "|".join(r"\Q" + w + r"\E" for w in MENU)), found), t)
+
+
 def strip_known_blocks(c: Column | str) -> Column:
-    """Tag lines, closing links, JSON lines, empty links and platform labels, in this order; banners and navigation are not in it."""
-    return cut_platform_lines(cut_empty_links(cut_json_lines(cut_tail(cut_tag_lines(c)))))
+    """The whole chain: cookie notice, tag lines, the menu as a run, closing links, JSON lines, empty links, platform labels, the menu by lines."""
+    out = F.coalesce(col(c), F.lit(""))
+    for step in (cut_notice, cut_tag_lines, cut_menu_run, cut_tail, cut_json_lines, cut_empty_links, cut_platform_lines, cut_menu):
+        out = let(out, step)  # each step's text is computed once, though the step names it often
+    return out
 
 
 def section_key(line: Column) -> Column:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborlight.functions.base import col, contains_any, lower, trim
+from harborlight.functions.base import col, contains_any, lookup, lower, trim
 
 # Bounds of a plausible annual pay, and hours of a working year.
+NO_PAY_REASON = "pending markdown structured extraction"
 LEAST_PAY, MOST_PAY, YEAR_HOURS = 30_000, 5_000_000, 2080
 LEVELS = ["junior", "mid", "senior", "staff"]
+# Currencies that have a sign of their own in American English.
+CURRENCY_SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "INR": "₹", "JPY": "¥", "CAD": "CA$", "AUD": "A$", "NZD": "NZ$", "MXN": "MX$", "BRL": "R$", "CNY": "CN¥", "KRW": "₩", "ILS": "₪", "VND": "₫", "TWD": "NT$", "HKD": "HK$", "PHP": "₱"}
 
 
 def usd(c: Column | str) -> Column:
@@ -83,6 +86,15 @@ def display_pay(c: Column | str) -> Column:
     return F.concat(F.lit("$"), F.round(col(c) / 1000).cast("long").cast("string"), F.lit("k"))
 
 
+def money(c: Column | str, code: Column | str) -> Column:
+    """Whole units with the currency's sign, or with its code where no sign is listed; null pay is "Unknown", a code that is none counts as USD."""
+    known = F.coalesce(F.upper(col(code)), F.lit(""))
+    code_of = F.when(known.rlike("^[A-Z]{3}$"), known).otherwise("USD")
+    sign = F.coalesce(lookup(code_of, CURRENCY_SIGNS), F.concat(code_of, F.lit("\u00a0")))
+    v = F.floor(F.abs(col(c)) + 0.5).cast("long")
+    return F.coalesce(F.concat(F.when((col(c) < 0) & (v > 0), "-").otherwise(""), sign, F.format_number(v, 0)), F.lit("Unknown"))
+
+
 def round_pay(c: Column | str, step: int = 1000) -> Column:
     """To the step, halves to the even one."""
     return (F.bround(col(c) / step) * step).cast("long")

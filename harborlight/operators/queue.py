@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from harborlight.functions import url
 from harborlight.functions.clock import DAY_MS, HOUR_MS, MINUTE_MS
+from harborlight.operators.scratch import kept
 
 TERMINAL = ["completed", "failed", "invalid"]
 TTL_MS, MOST_ATTEMPTS = 7 * DAY_MS, 3
@@ -82,6 +83,41 @@ def lease(queue: DataFrame, now_ms: int, limit: int, expiry_ms: int = 20 * MINUT
     return {"leased": taken, "expired": expired.withColumn("status", F.lit("failed"))}
 
 
+def lease_fit(queue: DataFrame, seen: DataFrame, now_ms: int, limit: int, expiry_ms: int = 20 * MINUTE_MS, rounds: int = 3) -> dict[str, DataFrame]:
+    """Leases until a batch holds an address worth fetching: tables leased (at most limit rows) and skipped (url, error), both read from the shared store.
+
+    Of each batch, rows out of attempts, addresses of sign-in pages and those that seen (sourceUrl, url) lists for their site are skipped, for the
+    first of these reasons; a batch of nothing else is followed by another, three at most; rows of one address go together. Rows of a blank address
+    are leased, but neither kept nor skipped. seen is met by an equality join; a batch has at most 200 rows, so only its emptiness reaches the driver.
+    """
+    left, batches = queue, []
+    listed = seen.select("sourceUrl", "url").distinct().withColumn("_seen", F.lit(True))
+    for n in range(rounds):
+        taken = lease(left, now_ms, limit, expiry_ms)["leased"].where(F.trim("url") != "").join(listed, ["sourceUrl", "url"], "left")
+        why = F.when(F.col("attempts") > MOST_ATTEMPTS, "max_attempts_exceeded").when(url.is_auth_url("url"), "auth_url").when(F.col("_seen"), "skip_listed_url")
+        batches.append(kept(taken.withColumn("error", why).drop("_seen"), f"lease-{n}"))
+        if batches[-1].isEmpty() or not batches[-1].where("error is null").isEmpty():
+            break
+        left = left.join(batches[-1].select("url"), "url", "left_anti")
+    skipped = batches[0]
+    for b in batches[1:]:
+        skipped = skipped.unionByName(b)
+    return {"leased": batches[-1].where("error is null").drop("error"), "skipped": skipped.where("error is not null").select("url", "error")}
+
+
+def verdicts(scrapes: DataFrame) -> DataFrame:
+    """(url, new_status, error) for complete(): scrapes (subUrls, sourceUrl, outcome) settle their first address that isn't blank, else their source.
+
+    An outcome stored completes it, invalid_scrape makes it invalid, another or none fails it. Of several scrapes of one address the worst counts:
+    failed before invalid before completed. Scrapes without an address settle nothing.
+    """
+    first = F.get(F.filter("subUrls", lambda u: F.coalesce(F.trim(u), F.lit("")) != ""), 0)
+    each = scrapes.select(F.coalesce(first, F.nullif(F.trim("sourceUrl"), F.lit(""))).alias("url"), F.when(F.col("outcome") == "stored", 0).when(F.col("outcome") == "invalid_scrape", 1).otherwise(2).alias("rank"))
+    worst = each.where("url is not null").groupBy("url").agg(F.max("rank").alias("rank"))
+    status = F.when(F.col("rank") == 0, "completed").when(F.col("rank") == 1, "invalid").otherwise("failed")
+    return worst.select("url", status.alias("new_status"), F.when(F.col("rank") == 1, "invalid_job_data").when(F.col("rank") == 2, "store_scrape_failed").alias("error"))
+
+
 def complete(queue: DataFrame, results: DataFrame, now_ms: int) -> dict[str, DataFrame]:
     """results (url, new_status, error): a failed row out of attempts or not found moves to ignored, others change state."""
     r = results.groupBy("url").agg(F.max("new_status").alias("new_status"), F.max("error").alias("error"))

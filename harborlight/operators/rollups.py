@@ -60,6 +60,28 @@ def pay_caps(maxima: DataFrame, step: int = 1000) -> DataFrame:
     return both.select("key", *caps).join(name, "key").drop("key")
 
 
+def pay_shown(jobs: DataFrame, caps: DataFrame) -> DataFrame:
+    """Jobs with payShown, payUnknown, payEstimated and payReason; unknown pay falls back on the cap of the company at the job's level.
+
+    caps are those of pay_caps; one without a middle level counts for nothing, and a job whose level is none of the four, or has no cap, takes the
+    middle one. The reason says so, else it is the job's own compensationReason, else where the pay comes from (scrapedWith). Of several caps of one
+    company the first by name counts; a job without a company has none.
+    """
+    levels = F.struct(*(F.col(f"cap_{v}").cast("double").alias(v) for v in pay.LEVELS))
+    of = caps.where("cap_mid > 0").groupBy(company.alnum_key("company").alias("_key")).agg(F.min_by(levels, "company").alias("_caps")).where("_key <> ''")
+    own = F.lower(trim(F.coalesce("level", F.lit(""))))
+    met = jobs.withColumn("_key", company.alnum_key(F.coalesce("company", F.lit("")))).join(of, "_key", "left")
+    unknown = truthy("compensationUnknown") | F.col("totalCompensation").isNull()
+    at_level = F.coalesce(*(F.when((own == v) & (F.col(f"_caps.{v}") > 0), F.col(f"_caps.{v}")) for v in pay.LEVELS), F.col("_caps.mid"))
+    estimate = F.when(unknown, at_level)
+    said = lambda c: F.nullif(trim(F.col(c)), F.lit("")) if c in jobs.columns else F.lit(None).cast("string")
+    capped = F.concat(F.lit("Company salary cap from config"), F.when(own.isin(pay.LEVELS), "").otherwise(" (mid-level fallback)"))
+    source = F.coalesce(F.concat(said("scrapedWith"), F.lit(" extracted compensation")), F.lit("Compensation provided in listing"))
+    reason = F.when(estimate.isNotNull(), capped).otherwise(F.coalesce(said("compensationReason"), F.when(unknown, pay.NO_PAY_REASON).otherwise(source)))
+    shown = pay.money(F.when(unknown, estimate).otherwise(F.col("totalCompensation")), "currencyCode")
+    return met.select(*jobs.columns, shown.alias("payShown"), (unknown & estimate.isNull()).alias("payUnknown"), estimate.isNotNull().alias("payEstimated"), reason.alias("payReason"))
+
+
 def board_groups(jobs: DataFrame) -> DataFrame:
     """Jobs of one title, company, level and remoteness as one row: the newest as base, the best-paid for pay, merged places."""
     part = lambda c: F.regexp_replace(lower(trim(F.coalesce(c, F.lit("")))), r"\s+", " ")

@@ -79,6 +79,32 @@ def url_logs(scrapes: DataFrame, jobs: DataFrame) -> DataFrame:
     return each.join(known, "_key", "left").drop("_key")
 
 
+def scrape_log(scrapes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What became of each address of each scrape: scrapes (scrapeId, sourceUrl, at, rows, links) give scrapeId, at, url, reason, action, jobId and
+    the two counts.
+
+    rows are the addresses of normalised rows, null or blank where a row has none; without rows, links are the raw addresses found; without both,
+    the scrape itself is one entry. A row is missing_url without an address, else already_saved if a job has it; a link is listing_only; an empty
+    scrape is no_items, or no_items_existing_job. Entries with one of these reasons but missing_url, and those whose address a job has, are skipped,
+    others scraped. Addresses meet jobs whatever their slashes at the end; of a job's repeats the least id counts.
+    """
+    n, raw = (F.coalesce(F.size(c), F.lit(0)) for c in ("rows", "links"))
+    entry = lambda u, why: F.struct(u.alias("url"), why.alias("reason"))
+    blank = lambda u: F.coalesce(F.trim(u), F.lit("")) == ""
+    of_rows = F.transform("rows", lambda u: entry(u, F.when(blank(u), "missing_url")))
+    of_links = F.transform("links", lambda u: entry(u, F.lit("listing_only")))
+    entries = F.when(n > 0, of_rows).when(raw > 0, of_links).otherwise(F.array(entry(F.col("sourceUrl"), F.lit("no_items"))))
+    each = scrapes.select("scrapeId", "at", "sourceUrl", n.alias("rowCount"), raw.alias("linkCount"), F.explode(entries).alias("e"))
+    address = F.coalesce(F.when(blank(F.col("e.url")), F.col("sourceUrl")).otherwise(F.trim("e.url")), F.lit("unknown"))
+    each = each.select("*", address.alias("url"), F.col("e.reason").alias("why")).withColumn("_key", F.rtrim(F.col("url"), F.lit("/")))
+    known = jobs.where("url is not null").groupBy(F.rtrim(F.trim("url"), F.lit("/")).alias("_key")).agg(F.min("_id").alias("jobId"))
+    met = each.join(known, "_key", "left")
+    saved = F.col("jobId").isNotNull()
+    reason = F.when((F.col("why") == "no_items") & saved, "no_items_existing_job").otherwise(F.coalesce("why", F.when(saved, "already_saved")))
+    skipped = saved | F.coalesce(reason != "missing_url", F.lit(False))
+    return met.select("scrapeId", "at", "url", reason.alias("reason"), F.when(skipped, "skipped").otherwise("scraped").alias("action"), "jobId", "rowCount", "linkCount")
+
+
 def company_names(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
     """(input, resolved, names): the profile whose name, else whose alias is the input, and all its names.
 
