@@ -163,21 +163,21 @@ def cut_notice(c: Column | str) -> Column:
     """A cookie notice goes from the first line with a signal to the last, with the blank lines, tags and buttons around it: at least two lines
     hold signals, two name cookies, and at most 240 lines lie between. The text stays, but for line breaks at its ends, if nothing would be left."""
     t = F.coalesce(col(c), F.lit(""))
-    signal = r"(?i)" + "|".join(w.replace(" ", r"\s+") for w in COOKIE_SIGNALS)
-    control = r"(?i)^\s*(?:" + "|".join(w.replace(" ", r"\s+") for w in COOKIE_CONTROLS) + r")\s*$"
 
-    def told(s: Column) -> Column:
-        empty = s.rlike(r"^\s*$") | is_tag_line(s)
-        return F.struct(s.alias("line"), s.rlike(signal).alias("hit"), s.rlike(r"(?i)\bcookies?\b").alias("named"), empty.alias("before"), (empty | s.rlike(control)).alias("after"))
+    def told(s: Column, low: Column) -> Column:
+        empty = (low == "") | is_tag_line(s)
+        named = low.contains("cookie") & low.rlike(r"\bcookies?\b")
+        return F.struct(s.alias("line"), contains_any(low, COOKIE_SIGNALS).alias("hit"), named.alias("named"), empty.alias("before"), (empty | low.isin(COOKIE_CONTROLS)).alias("after"))
 
     def result(rows: Column, e: Column) -> Column:
         named = F.size(F.filter(rows, lambda r: r["named"]))
         notice = (e["hits"] >= NOTICE_SIGNALS) & (named >= NOTICE_SIGNALS) & (e["last"] - e["first"] <= NOTICE_LINES)
         return F.when(notice, F.coalesce(F.nullif(_spread(rows, "before", "after", e["first"], e["last"]), F.lit("")), F.regexp_replace(t, r"^\n+|\n+$", "")))
 
-    # most texts hold no signal: one search tells them before their lines are made
-    found = let(F.transform(lines_of(t), told), lambda rows: let(_ends(rows, "hit"), lambda e: result(rows, e)))
-    return F.coalesce(F.when(t.rlike(signal), found), t)
+    # most texts name no cookie: one plain search tells them before their lines are made
+    each = F.transform(lines_of(t), lambda s: let(F.lower(F.trim(squeeze(s))), lambda low: told(s, low)))
+    found = let(each, lambda rows: let(_ends(rows, "hit"), lambda e: result(rows, e)))
+    return F.coalesce(F.when(F.lower(t).contains("cookie"), found), t)
 
 
 def cut_menu_run(c: Column | str) -> Column:
@@ -191,9 +191,10 @@ def cut_menu(c: Column | str) -> Column:
     """A menu goes from its first line to its last, with blank lines before, and blank and menu lines after it: at least eight of the first 200
     lines are its words, the first within 120, and of the lines from first to last that aren't blank at least three fifths."""
     t = F.coalesce(col(c), F.lit(""))
+    start = r"^[^\S\n]*#*[^\S\n]*(?:" + "|".join(r"\Q" + w + r"\E" for w in [*MENU, "Careers"]) + ")"
 
     def told(s: Column, i: Column) -> Column:
-        hit = trim(F.regexp_replace(trim(s), "^#+", "")).isin([*MENU, "Careers"])
+        hit = s.rlike(start + r"\s*$")
         blank = s.rlike(r"^\s*$")
         return F.struct(s.alias("line"), (hit & (i < MENU_WINDOW)).alias("hit"), blank.alias("blank"), (hit | blank).alias("after"))
 
@@ -203,7 +204,7 @@ def cut_menu(c: Column | str) -> Column:
         return F.when(menu, F.coalesce(F.nullif(_spread(rows, "blank", "after", e["first"], e["last"]), F.lit("")), F.regexp_replace(t, r"^\n+|\n+$", "")))
 
     found = let(F.transform(lines_of(t), told), lambda rows: let(_ends(rows, "hit"), lambda e: F.when(e["hits"] >= MENU_HITS, result(rows, e))))
-    return F.coalesce(F.when(t.rlike("Careers|" + "|".join(r"\Q" + w + r"\E" for w in MENU)), found), t)
+    return F.coalesce(F.when(t.rlike("(?m)" + start), found), t)
 
 
 def strip_known_blocks(c: Column | str) -> Column:
