@@ -37,13 +37,15 @@ def recover_late(events: DataFrame, key: str, closing: str, wait_ms: int) -> Dat
                 yield pd.DataFrame({key: [k[0]], "outcome": ["expired"], "at": [first + wait_ms]})
             return
         first, closed = state.get if state.exists else (None, 0)
-        for b in batches:
+        closings = []
+        for b in batches:  # a key's rows of one micro-batch come in several frames, in any order
             at = (b["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000).to_numpy()
             first = int(at.min()) if first is None else min(first, int(at.min()))
             done = at[(b["event_type"] == closing).to_numpy()]
-            if len(done) and not closed:
-                closed = 1
-                yield pd.DataFrame({key: [k[0]], "outcome": ["closed"], "at": [int(done.min())]})
+            closings += [int(done.min())] if len(done) else []
+        if closings and not closed:
+            closed = 1
+            yield pd.DataFrame({key: [k[0]], "outcome": ["closed"], "at": [min(closings)]})
         state.update((first, closed))
         state.setTimeoutTimestamp(max(first + wait_ms, state.getCurrentWatermarkMs() + 1))
 

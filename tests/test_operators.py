@@ -88,6 +88,14 @@ def test_recover_late_timer(spark, tmp_path):
     assert outcome[1] == "closed" and outcome[2] == "expired"
 
 
+def test_recover_late_takes_the_first_of_many_closings(spark, tmp_path):
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("user_id"), F.timestamp_millis(F.lit(1_704_067_200_000) - F.col("id")).alias("ts"), F.lit("done").alias("event_type"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = flows.run_once(flows.recover_late(stream, "user_id", "done", 1000), "late_many", checkpoint=str(tmp_path / "state"))
+    assert [(r.outcome, r.at) for r in got.collect()] == [("closed", 1_704_067_200_000 - 29_999)]
+
+
 def test_windowed_counts(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:03:00", "a")], "t string, k string").select(F.to_timestamp("t").alias("ts"), "k").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "in"))
