@@ -51,12 +51,15 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 
 def repaired(children: DataFrame, parents: DataFrame, hops: DataFrame, key: str) -> DataFrame:
-    """Follows each reference directly or over one hop (old, new); those that lead nowhere are dropped."""
+    """Follows each reference directly or, where it has no parent, over its hops (old, new); those that lead nowhere are dropped.
+
+    Hops meet their targets first, so that children are joined once and by their own key: references without a hop never meet as nulls.
+    """
     ids = parents.select(F.col("_id").alias("_target")).distinct()
-    direct = children.join(ids, F.col(key) == F.col("_target"), "left")
-    hop = hops.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    via = direct.join(hop, F.col(key) == F.col("_old"), "left").join(ids.withColumnRenamed("_target", "_via"), F.col("_new") == F.col("_via"), "left")
-    return via.withColumn(key, F.coalesce("_target", "_via")).where(F.col(key).isNotNull()).select(*children.columns)
+    hop = hops.select(F.col("old").alias("_old"), F.col("new").alias("_target"))
+    led = hop.join(ids, "_target", "left_semi").join(ids.select(F.col("_target").alias("_old")), "_old", "left_anti").select("_old", "_target")
+    leads = ids.select(F.col("_target").alias("_old"), "_target").unionByName(led)
+    return children.join(leads, F.col(key) == F.col("_old")).withColumn(key, F.col("_target")).select(*children.columns)
 
 
 def split_columns(base: DataFrame, key: str, moved: list[str], child_key: str) -> tuple[DataFrame, DataFrame]:

@@ -76,6 +76,16 @@ def test_repaired(spark):
     assert sorted(map(tuple, merge.repaired(kids, parents, hops, "ref").collect())) == [("1", "p1"), ("2", "p2")]
 
 
+def test_repaired_joins_only_real_references(spark):
+    """References without a hop met as nulls in one task; a direct reference is one row, whatever hops there are."""
+    kids = spark.createDataFrame([("1", "p1"), ("2", "old"), ("3", None), ("4", "old"), ("5", "lost")], "id string, ref string")
+    parents = spark.createDataFrame([("p1",), ("p2",), ("p1",)], "_id string")
+    hops = spark.createDataFrame([("old", "p2"), ("old", "gone"), ("p1", "p2"), ("p1", "p1"), ("lost", "gone"), (None, "p1")], "old string, new string")
+    got = merge.repaired(kids, parents, hops, "ref")
+    assert sorted(map(tuple, got.collect())) == [("1", "p1"), ("2", "p2"), ("4", "p2")]
+    assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_recover_late_timer(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", "view"), (1, "2024-01-01 01:00:00", "purchase"), (2, "2024-01-01 00:00:00", "view")]
     schema = "user_id long, ts timestamp, event_type string"
