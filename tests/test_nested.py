@@ -112,6 +112,14 @@ def test_listing_payloads(spark):
     assert whole == ('{"jobs":[1]}', None)
 
 
+def test_many_levels_are_one_job(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(nested, "kept", lambda df, name: jobs.append(name) or df.localCheckpoint())
+    rows = [(1, '{"z": [0, ' * 9 + '{"Raw": "deep"}' + "]}" * 9), (2, '{"text": "near", "a": {}}')]
+    got = nested.first_text_under(spark.createDataFrame(rows, "n int, p string"), "n", "p", nested.BODY_TEXT_KEYS)
+    assert sorted(map(tuple, got.collect())) == [(1, "Raw", "deep", 19), (2, "text", "near", 1)] and len(jobs) == 2
+
+
 def test_first_text_of_nested_payloads(spark):
     deep = '{"z": [0, ' * 40 + '{"Raw": "deep"}' + "]}" * 40
     rows = [(1, deep), (2, '{"a": {"text": "inner"}, "text": " "}'), (3, '{"text": "t", "content": "c"}'), (4, "not json"), (5, None), (6, "[]"), (7, '[{"body": {"text": 5}}, {"body": "second"}]'), (8, '{"b": {"body": "x"}, "a": {"raw": "first by key"}}')]
