@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harborlight.operators.scratch import place
 
 #: Folders that tokens are dealt to by hash; tokens of all queries that are looked up by name, at most: beyond, the join alone picks them.
 FOLDERS, NAMED = 64, 2000
 
+#: Pairs of query and token that a task holds as a matrix and that matrix's cells, at most: more are met by a join. Documents that are scored at once.
+PAIRS, CELLS, BLOCK = 20_000, 4_000_000, 500
+
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -49,13 +57,49 @@ class TextIndex:
         names = [r.token for r in few] if len(few) <= NAMED else None
         n = self.spark.read.parquet(f"{self.folder}/size").first().n
         weight = F.log((F.lit(n) + 1) / F.col("df"))
-        wanted = asked.join(self._of("tokens", names).select("token", weight.alias("idf")), "token")
-        hits = wanted.join(self._of("postings", names).select("token", "id", "tf"), "token")
-        scored = hits.groupBy("query_id", "id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf")), 6).alias("score"))
+        known = self._of("tokens", names).select("token", weight.alias("idf"))
+        pairs = asked.limit(PAIRS + 1).collect()
+        if len(pairs) <= PAIRS and len({r.query_id for r in pairs}) * len({r.token for r in pairs}) <= CELLS:
+            scored = self._best(pairs, asked, self._of("postings", names), known, k)
+        else:
+            hits = asked.join(known, "token").join(self._of("postings", names).select("token", "id", "tf"), "token")
+            scored = hits.groupBy("query_id", "id").agg(F.sum((1 + F.log("tf")) * F.col("idf")).alias("score"))
+        scored = scored.withColumn("score", F.round("score", 6))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+    def _best(self, pairs: list, asked: DataFrame, postings: DataFrame, known: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score) of each block of documents: for each query all that may be among its k best, by products of documents with the queries' tokens.
+
+        A posting is read once, not once for each query that asks its token. All within the rounding of a block's k-th score stay, so that ties are the ranking's.
+        """
+        ids, words = list(dict.fromkeys(r.query_id for r in pairs)), list(dict.fromkeys(r.token for r in pairs))
+        row, column = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+        asks = np.array([(row[r.token], column[r.query_id]) for r in pairs], np.int64).reshape(-1, 2)
+        numbers = self.spark.createDataFrame(list(row.items()), "token string, t int")
+        part = F.struct("t", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        told = postings.select("token", "id", "tf").join(F.broadcast(numbers.join(known, "token")), "token")
+        docs = told.groupBy("id").agg(F.collect_list(part).alias("parts"))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries = np.zeros((len(words), len(ids)))
+            queries[asks[:, 0], asks[:, 1]] = 1
+            for b in (b.slice(lo, BLOCK) for b in batches for lo in range(0, b.num_rows, BLOCK)):
+                flat, size = b.column("parts").flatten(), b.column("parts").value_lengths().to_numpy()
+                held = np.zeros((b.num_rows, len(words)))
+                held[np.repeat(np.arange(b.num_rows), size), flat.field("t").to_numpy()] = flat.field("w").to_numpy()
+                score = held @ queries
+                least = np.partition(score, -k, axis=0)[-k] - 2e-6 if k < b.num_rows else np.zeros(len(ids))
+                doc, query = np.nonzero((score > 0) & (score >= least))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), pa.array(query, pa.int32()), pa.array(score[doc, query])], names=["id", "q", "score"])
+
+        kind = docs.schema["id"].dataType.simpleString()
+        best = docs.mapInArrow(run, f"id {kind}, q int, score double")
+        names = self.spark.createDataFrame([(q, i) for i, q in enumerate(ids)], T.StructType([asked.schema["query_id"], T.StructField("q", T.IntegerType())]))
+        return best.join(F.broadcast(names), "q").select("query_id", "id", "score")
+
+
 def merged_lists(lists: DataFrame, query_id: str, list_no: str, rank: str, item: str) -> DataFrame:
     """(query_id, position, item): the lists of a query behind each other in order of list_no, each item at its first place only."""
     first = lists.groupBy(query_id, item).agg(F.min(F.struct(list_no, rank)).alias("place"))

@@ -55,9 +55,14 @@ def test_search_reads_and_ranks_the_asked_postings(spark, monkeypatch):
     assert sorted(map(tuple, result.collect())) == plain(7)
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [folder" in plan.replace("isnotnull(folder", "folder") or re.search(r"PartitionFilters: \[[^\]]*folder", plan)
+    assert "MapInArrow" in plan  # a posting is read once, whatever number of queries asks its token
     monkeypatch.setattr(search, "NAMED", 1)
     assert sorted(map(tuple, index.search(asked, "q", "t", 7).collect())) == plain(7)
     assert index.search(asked.limit(0), "q", "t", 7).count() == 0
+    monkeypatch.setattr(search, "BLOCK", 2)
+    assert sorted(map(tuple, index.search(asked, "q", "t", 1).collect())) == plain(1)
+    monkeypatch.setattr(search, "PAIRS", 1)
+    assert sorted(map(tuple, index.search(asked, "q", "t", 7).collect())) == plain(7)
 
 
 def test_lists_merge_at_first_places(spark):
