@@ -140,11 +140,11 @@ class WordTable:
 
     No match of the pattern reaches over a single space between two other characters, so a text's ids are those of
     its words, each with the space before it. A text with other white space beside a space is cut as a whole.
-    `learn` gives the ids of a list of strings, each by itself.
+    `learn` gives the ids of a list of strings, each by itself; `words` the same of words that stand alone.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: str = "\0\0"):
-        self.learn, self.whole = learn, whole.encode()
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: str = "\0\0", words: Callable[[list[str]], list[bytes]] | None = None):
+        self.learn, self.words, self.whole = learn, words or learn, whole.encode()
         self.known: dict[bytes, bytes | None] = {}
 
     def stands_alone(self, word: str, raw: bytes) -> bool:
@@ -182,7 +182,7 @@ class WordTable:
         text = [w.decode() for w in fresh]
         alone = [i for i, w in enumerate(fresh) if self.stands_alone(text[i], w)]
         self.known.update(dict.fromkeys(fresh))
-        self.known.update(zip((fresh[i] for i in alone), self.learn([text[i] for i in alone]), strict=True))
+        self.known.update(zip((fresh[i] for i in alone), self.words([text[i] for i in alone]), strict=True))
         ids = [self.known[w] for w in distinct]
         if len(self.known) > KEPT_WORDS:
             for w in fresh:

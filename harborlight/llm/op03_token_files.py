@@ -142,6 +142,26 @@ def _store(address: str) -> tuple[pafs.FileSystem, str]:
 
 _ENCODERS: dict[str, WordTable] = {}
 
+#: Words that are handed to the library as one text.
+_JOINED = 500
+
+
+def joined(words: list[str], learn: Callable[[list[str]], list[bytes]], spelt: np.ndarray) -> list[bytes]:
+    """Ids of words that stand alone, of which those with a space before them are encoded many to a text and cut apart by the bytes that ids stand for (spelt)."""
+    spaced = [i for i, w in enumerate(words) if w[0] == " "]
+    out = dict(zip(rest := [i for i, w in enumerate(words) if w[0] != " "], learn([words[i] for i in rest]), strict=True))
+    runs = [spaced[lo : lo + _JOINED] for lo in range(0, len(spaced), _JOINED)]
+    for run, raw in zip(runs, learn(["".join(map(words.__getitem__, run)) for run in runs]), strict=True):
+        read = np.cumsum(spelt[np.frombuffer(raw, "<i4")])
+        want = np.cumsum([len(words[i].encode()) for i in run])
+        close = np.searchsorted(read, want) + 1
+        if not np.array_equal(read[np.minimum(close, len(read)) - 1], want):  # an id that reaches over two words
+            out.update(zip(run, learn([words[i] for i in run]), strict=True))
+            continue
+        ends = (close * 4).tolist()
+        out.update(zip(run, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    return [out[i] for i in range(len(words))]
+
 
 def library_table(vocabulary: str) -> WordTable:
     """The tokenizers library's ids, word by word; texts with a special token's opening are handed over whole."""
@@ -156,7 +176,10 @@ def library_table(vocabulary: str) -> WordTable:
         def learn(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<i4").tobytes() for lo in range(0, len(texts), 20_000) for e in tokenizer.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
 
-        _ENCODERS[vocabulary] = WordTable(learn, whole="<|")
+        names = tokenizer.get_vocab(with_added_tokens=True)
+        spelt = np.zeros(max(names.values()) + 1, np.int64)
+        spelt[list(names.values())] = [len(t) for t in names]  # a character of a byte-level token is a byte
+        _ENCODERS[vocabulary] = WordTable(learn, whole="<|", words=lambda texts: joined(texts, learn, spelt))
     return _ENCODERS[vocabulary]
 
 

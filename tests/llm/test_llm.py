@@ -327,6 +327,21 @@ def test_dual_coordinate_descent_separates():
     assert ((np.array(p) > 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_words_are_learnt_many_to_a_text():
+    import public_tokenizers
+
+    words = [" alpha", "beta", " \u00fcber", " it's", " 12,5", " \u65e5\u672c", " x", "gamma", " alpha!"] + [f" w{i}" for i in range(1200)]
+    calls = []
+    table = op3.library_table(public_tokenizers.path("byte_bpe_50k.json"))
+    names = {w: table.learn([w])[0] for w in words}
+    learn = lambda texts: calls.append(len(texts)) or table.learn(texts)
+    assert table.words(words) == [names[w] for w in words]
+    spelt = table.words.__closure__ and next(c.cell_contents for c in table.words.__closure__ if hasattr(c.cell_contents, "dtype"))
+    assert op3.joined(words, learn, spelt) == [names[w] for w in words] and sum(calls) < 10
+    assert op3.joined([], table.learn, spelt) == []
+    assert op3.joined(words, table.learn, spelt + 1) == [names[w] for w in words]  # bytes that don't fit: each by itself
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------
 
 
