@@ -23,11 +23,19 @@ def with_scheme(c: Column | str) -> Column:
 
 def host(c: Column | str) -> Column:
     """Lower-cased host without user and port; empty for no address."""
-    return F.coalesce(lower(F.regexp_extract(with_scheme(c), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    return _host(with_scheme(c))
+
+
+def _host(u: Column) -> Column:
+    return F.coalesce(lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def path(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_extract(with_scheme(c), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return _path(with_scheme(c))
+
+
+def _path(u: Column) -> Column:
+    return F.coalesce(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def query(c: Column | str) -> Column:
@@ -119,20 +127,29 @@ def site_key(c: Column | str, kind: Column | str) -> Column:
 
 def job_url(c: Column | str) -> Column:
     """Canonical job address: forward slashes, none doubled or closing, no fragment, no apply form; null for utility pages."""
-    u = F.regexp_replace(trim(col(c)), r"\\+", "/")
-    h = host(u)
-    p = F.regexp_replace(F.regexp_replace(path(u), "/{2,}", "/"), "/+$", "")
+    return _job_url(trim(col(c)))
+
+
+def _job_url(trimmed: Column) -> Column:
+    """Of an address without spaces around it. One without a scheme has no canonical form, so host and path are read from it as it is."""
+    u = F.regexp_replace(trimmed, r"\\+", "/")
+    h = _host(u)
+    p = F.regexp_replace(F.regexp_replace(_path(u), "/{2,}", "/"), "/+$", "")
     p = F.when(h.endswith(ASHBY), F.regexp_replace(p, "(?i)/application$", "")).otherwise(p)
     avature = h.endswith("avature.net") | h.endswith("avature.com")
     head = lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    return F.when((head != "") & (h != "") & ~(avature & p.rlike("(?i)/(savejob|searchjobs|jobsearch)")), F.concat(head, F.when(p == "", "/").otherwise(p), query(u)))
+    return F.when((h != "") & ~(avature & p.rlike("(?i)/(savejob|searchjobs|jobsearch)")), F.concat(head, F.regexp_replace(p, r"^\z", "/"), query(u)))
 
 
 def url_candidates(c: Column | str) -> Column:
-    """The distinct spellings under which a job may be stored."""
-    raw, norm = trim(F.coalesce(col(c), F.lit(""))), job_url(c)
+    """The distinct spellings under which a job may be stored.
+
+    Equal parts are shared where this is a column of a select, but neither in an explode nor in a function of arrays with a lambda.
+    """
+    raw = trim(F.coalesce(col(c), F.lit("")))
+    norm = _job_url(raw)
     cut = lambda x: F.regexp_replace(x, "/+$", "")
-    return F.array_distinct(F.filter(F.array(raw, cut(raw), norm, cut(norm)), lambda x: x.isNotNull() & (x != "")))
+    return F.array_except(F.array(raw, cut(raw), norm, cut(norm)), F.array(F.lit(""), F.lit(None).cast("string")))
 
 
 def fix_scheme(c: Column | str) -> Column:

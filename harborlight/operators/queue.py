@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from harborlight.functions import url
+from harborlight.functions.base import trim
 from harborlight.functions.clock import DAY_MS, HOUR_MS, MINUTE_MS
 from harborlight.operators.scratch import kept
 
@@ -31,20 +32,40 @@ def outlived(now_ms: int) -> Column:
     return F.coalesce(F.col("createdAt") < now_ms - TTL_MS, F.lit(False))
 
 
+def spelt(addresses: DataFrame) -> DataFrame:
+    """(url, spelling): every spelling of each row's address.
+
+    The spellings are a column of a select before they are rows, where their equal parts are computed once. Give the rows as they are:
+    Catalyst folds a select into the aggregation under it, such as a distinct, and parts are not shared there.
+    """
+    return addresses.select("url", url.url_candidates("url").alias("_s")).select("url", F.explode_outer("_s").alias("spelling")).where("spelling is not null")
+
+
 def sorted_requests(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> DataFrame:
     """Requests (url, sourceUrl, delay_ms, pos), one an address, with their kind: seen, requeued, inserted or kept.
 
     Repeats and ignored addresses go; an address any spelling of which is a job is only recorded as seen; a known
     queue row is requeued when it is stale or terminal and kept as it is otherwise; the rest are new.
+    What is known of an address meets it in one aggregation; only spellings other than itself are joined.
     """
     rest = [c for c in requests.columns if c != "url"]
-    first = requests.withColumn("url", F.trim("url")).where("url <> ''").groupBy("url").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("url", "r.*")
-    first = first.join(ignored.select("url").distinct(), "url", "left_anti")
-    spelt = first.select("url", F.explode(url.url_candidates("url")).alias("spelling"))
-    known = spelt.join(jobs.select(F.col("url").alias("spelling")).distinct(), "spelling", "left_semi").select("url", F.lit(True).alias("_seen")).distinct()
-    old = queue.groupBy("url").agg(F.bool_or(F.coalesce(F.col("status").isin(TERMINAL) | stale(now_ms), F.lit(False))).alias("_again"))
-    kind = F.when(F.col("_seen"), "seen").when(F.col("_again"), "requeued").when(F.col("_again").isNull(), "inserted").otherwise("kept")
-    return first.join(known, "url", "left").join(old, "url", "left").withColumn("kind", kind).drop("_seen", "_again")
+    asked = requests.withColumn("url", F.trim("url")).where("url <> ''")
+    others = spelt(asked).where("spelling <> url").join(jobs.select(F.col("url").alias("spelling")), "spelling", "left_semi")
+    yes = F.lit(True)
+    told = [
+        ignored.select("url", yes.alias("_ignored")),
+        queue.select("url", F.coalesce(F.col("status").isin(TERMINAL) | stale(now_ms), F.lit(False)).alias("_again")),
+        jobs.select("url", yes.alias("_alike")),
+        others.select("url", yes.alias("_other")),
+    ]
+    rows = asked.select("url", F.struct(*rest).alias("_r"), "pos", yes.alias("_asked"))
+    for t in told:
+        rows = rows.unionByName(t, allowMissingColumns=True)
+    flags = [F.bool_or(c).alias(c) for c in ("_asked", "_ignored", "_again", "_alike", "_other")]
+    one = rows.groupBy("url").agg(F.min_by("_r", "pos").alias("_r"), *flags).where("_asked and _ignored is null")
+    seen = F.col("_other") | (F.col("_alike") & (trim("url") == F.col("url")))  # an address in Unicode spaces is none of its spellings
+    kind = F.when(seen, "seen").when(F.col("_again"), "requeued").when(F.col("_again").isNull(), "inserted").otherwise("kept")
+    return one.select("url", *(F.col(f"_r.{c}").alias(c) for c in rest), kind.alias("kind"))
 
 
 def enqueue(requests: DataFrame, queue: DataFrame, jobs: DataFrame, ignored: DataFrame, now_ms: int) -> dict[str, DataFrame]:

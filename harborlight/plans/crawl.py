@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight.bindings import oracle, shape
 from harborlight.functions import payload, text, url
-from harborlight.operators import merge, rollups
+from harborlight.operators import merge, queue, rollups
 from harborlight.plans.registry import Registry
 
 R = Registry()
@@ -63,8 +63,7 @@ def existing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which addresses are stored under any of their spellings; the stored table here is every third page."""
     pages = _table(spark, sf_dir, "pages")
     stored = pages.where("page_id % 3 = 0").select(F.col("url").alias("spelling")).distinct()
-    spelt = pages.select("url").distinct().withColumn("spelling", F.explode(url.url_candidates("url")))
-    return spelt.join(stored, "spelling", "left_semi").select("url").distinct()
+    return queue.spelt(pages).join(stored, "spelling", "left_semi").select("url").distinct()
 
 
 @R.add("urls_to_scrape", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)")

@@ -131,6 +131,19 @@ def test_requests_are_sorted_once(spark):
     assert (row.sourceUrl, row.scheduledAt, row.attempts, row.status) == ("t", now + 5, 0, "pending")
 
 
+def test_requests_meet_every_spelling_once(spark):
+    """Jobs are found under any spelling of an address; spellings are computed once a request, and what is known meets it in one exchange."""
+    urls = ["https://A.com//x/", "https://a.com/y/#top", "\u00a0https://a.com/z", "https://a.com/w", "https://a.com/w", "https://a.com/v"]
+    jobs = spark.createDataFrame([(u,) for u in ("https://a.com/x", "https://a.com/y", "https://a.com/z", "\u00a0https://a.com/w", "https://a.com/v", "https://a.com/v")], "url string")
+    req = spark.createDataFrame([(u, "s", 0, n) for n, u in enumerate(urls)], "url string, sourceUrl string, delay_ms long, pos long")
+    stored = spark.createDataFrame([("https://a.com/w", "pending", 10 * 86_400_000, 10 * 86_400_000)], "url string, status string, createdAt long, updatedAt long")
+    out = queue.sorted_requests(req, stored, jobs, jobs.limit(0), 10 * 86_400_000)
+    assert sorted((r.url, r.kind, r.pos) for r in out.collect()) == sorted([(urls[0], "seen", 0), (urls[1], "seen", 1), (urls[2], "seen", 2), ("https://a.com/w", "kept", 3), ("https://a.com/v", "seen", 5)])
+    steps = out.select("url", "kind")._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert not [x for x in steps if "Aggregate" in x and "regexp_extract" in x or "Generate" in x and "regexp" in x]
+    assert len([x for x in steps if "HashAggregate" in x]) == 2 and len([x for x in steps if "Join" in x]) == 1
+
+
 def test_queue_rows_without_a_time(spark):
     """A row that doesn't say when it was created has no age: it is leased, not expired, and not purged."""
     from harborlight.operators import queue
